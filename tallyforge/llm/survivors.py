@@ -29,13 +29,13 @@ from .truncation import MARKS
 
 _TAIL = re.compile("(?:" + "|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True)) + r")\s*$")
 BUNDLES = ("offer", "text", "identity", "page")
-#: How much each kind of bundle weighs: lexicographic, the price and the text first.
-WEIGHTS = {"offer": 8.0, "text": 4.0, "identity": 2.0, "page": 1.0}
+#: Places of the kinds of bundle in the order of importance: no gain of a lower place outweighs a loss of a higher one.
+PLACES = {"offer": 3, "text": 2, "identity": 1, "page": 0}
 
 
 def real_amount(price: Column) -> Column:
     """Placeholders are not amounts: nothing, up to one, or a run of nines."""
-    digits = F.format_string("%.0f", F.floor(price.cast("double")))
+    digits = F.floor(price.cast("decimal(38,2)")).cast("string")
     return price.isNotNull() & ~F.isnan(price.cast("double")) & (price > 1) & ~digits.rlike("^(9{5,}|1{5,}|12345(6(7(89?)?)?)?)$")
 
 
@@ -54,21 +54,23 @@ def completeness(pages: list[str | None]) -> list[tuple[int, str]]:
     return out
 
 
-def branch_and_bound(choices: dict[str, list[tuple[float, str, int]]]) -> tuple[float, dict[str, int]]:
+def branch_and_bound(choices: dict[str, list[tuple[int, str, int]]]) -> tuple[int, dict[str, int]]:
     """The row for each bundle that maximises weighted trust.
 
-    ``choices`` lists (trust 0..1, model number, row) per bundle.  Text and
+    ``choices`` lists (trust as a rank from 1, model number, row) per bundle.  Text and
     identity must agree on the model number where both have one.  A bundle
     without a choice stays open.
     """
     order = [b for b in BUNDLES if choices.get(b)]
     lists = [sorted(choices[b], key=lambda c: (-c[0], c[2])) for b in order]
-    bound = [0.0] * (len(order) + 1)
+    base = 1 + max((c[0] for cs in lists for c in cs), default=1)
+    weights = {b: base ** PLACES[b] for b in order}
+    bound = [0] * (len(order) + 1)
     for k in range(len(order) - 1, -1, -1):
-        bound[k] = bound[k + 1] + WEIGHTS[order[k]] * lists[k][0][0]
-    best: tuple[float, dict[str, int]] = (-1.0, {})
+        bound[k] = bound[k + 1] + weights[order[k]] * lists[k][0][0]
+    best: tuple[int, dict[str, int]] = (-1, {})
 
-    def descend(k: int, got: float, model: str, picked: dict[str, int]) -> None:
+    def descend(k: int, got: int, model: str, picked: dict[str, int]) -> None:
         nonlocal best
         if got + bound[k] <= best[0]:
             return
@@ -80,12 +82,12 @@ def branch_and_bound(choices: dict[str, list[tuple[float, str, int]]]) -> tuple[
             if name in ("text", "identity") and code and model and code != model:
                 continue
             picked[name] = row
-            descend(k + 1, got + WEIGHTS[name] * trust, (model or code) if name in ("text", "identity") else model, picked)
+            descend(k + 1, got + weights[name] * trust, (model or code) if name in ("text", "identity") else model, picked)
             del picked[name]
         if name == "identity":  # it may stay open where no identity agrees with the text
             descend(k + 1, got, model, picked)
 
-    descend(0, 0.0, "", {})
+    descend(0, 0, "", {})
     return best
 
 
@@ -141,7 +143,7 @@ def survivors(machines: DataFrame) -> DataFrame:
                 choices = {}
                 for name, fields in kinds.items():
                     have = [(tuple(f[name][x] for x, _ in fields), f[name]["tie"], f["code"]) for f in found if f[name] is not None and f[name]["tie"] is not None]
-                    ranks = {v: (k + 1) / len(have) for k, v in enumerate(sorted({(h[0], h[1]) for h in have}))}
+                    ranks = {v: k + 1 for k, v in enumerate(sorted({(h[0], h[1]) for h in have}))}
                     choices[name] = [(ranks[(v, tie)], code, -int(tie)) for v, tie, code in have]
                 _, row = branch_and_bound(choices)
                 out.append((key, *[row.get(name) for name in BUNDLES]))
