@@ -21,11 +21,15 @@ from ..runtime import cut
 BINS = 1 << 14
 
 
-def quality(text: Column, tokens: Column) -> Column:
-    """Weight of a text between 0.1 and 1: the share of letters, and less for texts of a few tokens."""
+def letter_share(text: Column) -> Column:
+    """Letters among the characters of a text."""
     letters = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]", ""))
-    share = letters / F.greatest(F.length(F.coalesce(text, F.lit(""))), F.lit(1))
-    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), share) * F.least(F.lit(1.0), tokens / 32.0))
+    return letters / F.greatest(F.length(F.coalesce(text, F.lit(""))), F.lit(1))
+
+
+def quality(letters: Column, tokens: Column) -> Column:
+    """Weight of a text between 0.1 and 1: its share of letters, and less for texts of a few tokens."""
+    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), letters) * F.least(F.lit(1.0), tokens / 32.0))
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: int) -> Column:

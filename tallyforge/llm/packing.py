@@ -2,7 +2,7 @@
 
 Only the histogram of lengths is planned, on the driver: it has at most as
 many entries as the capacity has tokens, however many texts there are.  Lengths
-are put into classes (exact for short ones, within 1/64 for long ones), shallow
+are put into classes (exact for short ones, within 1/160 for long ones), shallow
 combinations of classes that fill a window below the capacity are enumerated,
 and non-negative least squares solves how often each is repeated to use up the
 histogram.  Repeats are rounded down; what is left is packed greedily on the
@@ -34,12 +34,12 @@ def length_classes(capacity: int) -> np.ndarray:
     """Upper bounds of the length classes."""
     bounds, at = [], 0
     while at < capacity:
-        at = min(capacity, at + max(1, at // 64))
+        at = min(capacity, at + max(1, at // 160))
         bounds.append(at)
     return np.array(bounds)
 
 
-def combinations(bounds: np.ndarray, capacity: int, have: np.ndarray, window: float = 0.01) -> list[dict[int, int]]:
+def combinations(bounds: np.ndarray, capacity: int, have: np.ndarray, window: float = 0.004) -> list[dict[int, int]]:
     """Shallow combinations {class: times} of at most three classes whose upper bounds sum into the window below the capacity."""
     present = np.flatnonzero(have > 0)
     if not len(present):
@@ -55,17 +55,17 @@ def combinations(bounds: np.ndarray, capacity: int, have: np.ndarray, window: fl
             out.setdefault(tuple(sorted(combo.items())), combo)
 
     for a, size in zip(present, sizes):
-        for i in sorted({1, 2, 3, 4, 6, 8, capacity // int(size)}):
+        for i in sorted({1, 2, 3, capacity // int(size)}):
             rest = capacity - i * int(size)
             if rest < 0:
                 continue
             add([(a, i)])
-            for j in (1, 2, 3, 4):
+            for j in (1, 2, 4):
                 k = bisect_right(sizes, rest // j) - 1
                 if k >= 0:
                     add([(a, i), (present[k], j)])
             if i <= 2:
-                for k in range(0, len(present), max(1, len(present) // 24)):
+                for k in range(int(size) % 7, len(present), max(1, len(present) // 10)):
                     third = rest - int(sizes[k])
                     q = bisect_right(sizes, third) - 1 if third > 0 else -1
                     if q >= 0:
@@ -73,31 +73,32 @@ def combinations(bounds: np.ndarray, capacity: int, have: np.ndarray, window: fl
     return list(out.values())
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min |a x - b| with x >= 0, by the active set method."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 60, at_once: int = 32) -> np.ndarray:
+    """min |a x - b| with x >= 0, by the active set method; several columns with a rising gradient enter in a round."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, dtype=bool)
-    gram, target = a.T @ a, a.T @ b
+    target = a.T @ b
     for _ in range(rounds):
-        gradient = target - gram @ x
+        gradient = target - a.T @ (a @ x)
         gradient[passive] = -np.inf
-        j = int(np.argmax(gradient))
-        if gradient[j] <= 1e-7 * max(1.0, float(np.abs(target).max())):
+        enter = np.argsort(-gradient)[:at_once]
+        enter = enter[gradient[enter] > 1e-6 * max(1.0, float(np.abs(target).max()))]
+        if not len(enter):
             break
-        passive[j] = True
+        passive[enter] = True
         while True:
             p = np.flatnonzero(passive)
-            z = np.linalg.lstsq(gram[np.ix_(p, p)] + 1e-9 * np.eye(len(p)), target[p], rcond=None)[0]
-            if (z > 1e-9).all():
+            own = a[:, p]
+            z = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(p)), target[p])
+            bad = z <= 1e-9
+            if not bad.any():
                 x[:] = 0
                 x[p] = z
                 break
-            bad = z <= 1e-9
-            ratio = x[p][bad] / np.maximum(x[p][bad] - z[bad], 1e-12)
-            step = float(ratio.min())
-            x[p] += step * (z - x[p])
-            gone = p[(x[p] <= 1e-9) & bad]
-            passive[gone if len(gone) else p[bad][:1]] = False
+            down = bad & (x[p] > z)
+            step = min(1.0, float((x[p][down] / (x[p][down] - z[down])).min())) if down.any() else 1.0
+            x[p] = np.maximum(0.0, x[p] + step * (z - x[p]))
+            passive[p[bad & (x[p] <= 1e-9)]] = False
             x[~passive] = 0
             if not passive.any():
                 break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import boilerplate, canonical, linkage, survivors, truncation
+from . import abuse, boilerplate, canonical, linkage, mixing, packing, survivors, tokens, truncation
 
 
 def _brands(spark: SparkSession, sf_dir: str) -> list[tuple]:
@@ -73,5 +73,53 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.classes(_products(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_main_body, p4_found, p4_rates, p5_found, p5_survivors, p6_found, p6_classes)}
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    return [tuple(r) for r in table(spark, sf_dir, "container_sizes").select("container_name", "capacity_tokens").collect()]
+
+
+def p8_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a container of every capacity."""
+    return packing.pack(tokens.with_tokens(table(spark, sf_dir, "documents"), ["doc_id"]), _capacities(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill_rates(p8_assignments(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    sized = tokens.with_tokens(docs.withColumn("letters", mixing.letter_share(F.col("text"))), ["doc_id", "source", "letters"])
+    return mixing.mix(sized.withColumn("weight", mixing.quality(F.col("letters"), F.col("tokens"))), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: which text is used how many times."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached, beside the targets."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents")).where("p_any >= 0.5").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected severity."""
+    return abuse.scores(table(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of such documents for each source."""
+    docs = table(spark, sf_dir, "documents")
+    scored = abuse.scores(docs).join(docs.select("doc_id", "source"), "doc_id")
+    hit = (F.col("p_any") >= 0.5).cast("int")
+    return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(hit).alias("n_found"), F.avg(hit).alias("rate"), F.avg("severity").alias("mean_severity"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_main_body, p4_found, p4_rates, p5_found, p5_survivors, p6_found, p6_classes,
+                                   p8_assignments, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 ORACLE_SQL: dict[str, str] = {}
