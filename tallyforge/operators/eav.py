@@ -133,5 +133,7 @@ def characteristic_sets(wide: DataFrame, attributes: list[tuple], max_classes: i
 def cells_of(wide: DataFrame, attributes: list[tuple], types: tuple[str, ...]) -> DataFrame:
     """The filled cells of a wide table as (machine_id, attr_name, attr_value)."""
     picked = [(n, k) for n, k, *_ in attributes if k in types]
+    if not picked:
+        return wide.select("machine_id", F.lit("").alias("attr_name"), F.lit("").alias("attr_value")).where("false")
     pairs = F.array(*[F.struct(F.lit(n).alias("attr_name"), F.col(n).cast("string").alias("attr_value")) for n, _ in picked])
     return wide.select("machine_id", F.explode(pairs).alias("c")).select("machine_id", "c.attr_name", "c.attr_value").where("attr_value is not null")

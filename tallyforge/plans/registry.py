@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import report_queries, search_queries, text_queries, training, url_queries
+from . import report_queries, search_queries, source_queries, text_queries, training, url_queries
 
-_MODULES = [training, search_queries, text_queries, report_queries, url_queries]
+_MODULES = [training, search_queries, text_queries, report_queries, url_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
