@@ -182,11 +182,12 @@ def sample_passages(docs: DataFrame, id_col: str, text_col: str, most: int, each
     return out
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, group_col: str | None = None) -> DataFrame:
     """(doc_id, severity, p_any, n_found): the greatest expected severity (0..3) of a document's passages, the greatest chance that one is not harmless, and how many are more likely so than not.
 
     Every document gets a row: null and empty texts score 0, repeated ids give
     repeated rows.  ``sample`` bounds the documents the background is taken from.
+    With ``group_col`` that column comes along as ``grp``.
     """
     model = fit(sample_passages(docs, id_col, text_col, sample))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # 2^18 floats
@@ -196,7 +197,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
         memo: dict[str, float] = {}
         for b in batches:
             out = []
-            for id_, text in zip(b["id"].array, b["text"].array):
+            for id_, text, grp in zip(b["id"].array, b["text"].array, b["grp"].array):
                 best, found = -40.0, 0
                 for p in passages(text) if text else ():
                     key = re.sub(r"\d+", "0", p) if not re.search(r"[^\W\d_]\d|\d[^\W\d_]", p) else p
@@ -209,7 +210,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
                     best = max(best, s)
                     found += s > theta[0]
                 above = sigmoid(best - theta)
-                out.append((id_, float(above.sum()), float(above[0]), found))
-            yield pd.DataFrame(out, columns=["doc_id", "severity", "p_any", "n_found"])
+                out.append((id_, grp, float(above.sum()), float(above[0]), found))
+            yield pd.DataFrame(out, columns=["doc_id", "grp", "severity", "p_any", "n_found"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, severity double, p_any double, n_found long")
+    grp = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), grp.alias("grp"))
+    scored = source.mapInPandas(run, "doc_id long, grp string, severity double, p_any double, n_found long")
+    return scored if group_col else scored.drop("grp")

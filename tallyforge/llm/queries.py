@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each website_source truncates: (website_source, n_texts, n_truncated, share)."""
     rows = table(spark, sf_dir, "machines")
-    cut = truncation.score(rows).where("p >= 0.5").select("id", F.lit(1).alias("is_cut"))
+    cut = truncation.score(rows).where("p >= 0.5").select("id").distinct().withColumn("is_cut", F.lit(1))
     joined = rows.where("description is not null").select("id", "website_source").join(cut, "id", "left")
     out = joined.groupBy("website_source").agg(F.count("*").alias("n_texts"), F.coalesce(F.sum("is_cut"), F.lit(0)).alias("n_truncated"))
     return out.withColumn("share", F.col("n_truncated") / F.col("n_texts"))
@@ -114,8 +114,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate of such documents for each source."""
-    docs = table(spark, sf_dir, "documents")
-    scored = abuse.scores(docs).join(docs.select("doc_id", "source"), "doc_id")
+    scored = abuse.scores(table(spark, sf_dir, "documents"), group_col="source").withColumnRenamed("grp", "source")
     hit = (F.col("p_any") >= 0.5).cast("int")
     return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(hit).alias("n_found"), F.avg(hit).alias("rate"), F.avg("severity").alias("mean_severity"))
 
