@@ -35,8 +35,16 @@ _TOKEN = re.compile(r"[^\W_]+(?:[*][^\W_*]*)*|[^\W_]*[*]+[^\W_]+|[^\s\w.,;:!?()\
 
 
 def passages(text: str) -> list[str]:
-    """Sentences and lines; a smiley or a row of exclamation marks also ends one."""
-    return [p for p in _PASSAGE.split(text) if p and p.strip()]
+    """Sentences and lines; a smiley or a row of exclamation marks also ends one, and what runs on beyond 60 words is read in overlapping stretches of 40."""
+    out = []
+    for p in _PASSAGE.split(text):
+        if not p or not p.strip():
+            continue
+        if len(p) > 240 and len(run := p.split()) > 60:
+            out += [" ".join(run[k: k + 40]) for k in range(0, len(run) - 20, 20)]
+        else:
+            out.append(p)
+    return out
 
 
 @lru_cache(maxsize=200_000)

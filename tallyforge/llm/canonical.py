@@ -131,7 +131,7 @@ class Matcher:
         for ref_id, name, aliases in sorted(entries):
             self.names[ref_id] = name
             for text in (name, *(a.strip() for a in (aliases or "").split(";"))):
-                for turned in _rotations(text):
+                for turned in {text, *_rotations(text)}:
                     for s in spelled(turned):
                         if s:
                             self.trie.add(s, ref_id)
