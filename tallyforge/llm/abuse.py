@@ -137,7 +137,7 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
     @staticmethod
-    def fit(x: Rows, y: np.ndarray, epochs: int = 8, rate: float = 0.12, l2: float = 2e-6, batch: int = 128, seed: int = 5) -> Ordinal:
+    def fit(x: Rows, y: np.ndarray, epochs: int = 8, rate: float = 0.12, l2: float = 2e-6, batch: int = 128, seed: int = 5, least: float = -0.3) -> Ordinal:
         rng = np.random.default_rng(seed)
         w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
         theta, t2 = np.array([3.0, 5.0, 7.0]), np.full(GRADES - 1, 1e-6)
@@ -154,7 +154,8 @@ class Ordinal:
                 touched, place = np.unique(f, return_inverse=True)
                 g = np.bincount(place, weights=ds[owner]) / len(k) + l2 * w[touched]
                 g2[touched] += g * g
-                w[touched] -= rate * g / np.sqrt(g2[touched])
+                # a harmless word may not outvote an abusive phrase beside it
+                w[touched] = np.maximum(w[touched] - rate * g / np.sqrt(g2[touched]), least)
                 dt = np.zeros(GRADES - 1)
                 np.add.at(dt, y[k][y[k] < GRADES - 1], -(hi * (1 - hi) / p)[y[k] < GRADES - 1] / len(k))
                 np.add.at(dt, y[k][y[k] > 0] - 1, (lo * (1 - lo) / p)[y[k] > 0] / len(k))
