@@ -18,15 +18,20 @@ def terms(reference: DataFrame, name: str, synonyms: str) -> list[tuple[str, str
 
 def canonical(text: Column, dictionary: list[tuple[str, str]]) -> Column:
     """Canonical name of a text; the title-cased text where no term is in it; null for nothing."""
-    key = clean(text)
     table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in dictionary])
-    exact = F.get(F.filter(table, lambda x: x["t"] == key), F.lit(0))["c"]
-    within = F.get(F.filter(table, lambda x: F.contains(key, x["t"])), F.lit(0))["c"]
-    return F.when(key != "", F.coalesce(exact, within, title_case(outer(text))))
+
+    def look_up(key: Column) -> Column:
+        exact = F.get(F.filter(table, lambda x: x["t"] == key), F.lit(0))["c"]
+        within = F.get(F.filter(table, lambda x: F.contains(key, x["t"])), F.lit(0))["c"]
+        return F.when(key != "", F.coalesce(exact, within))
+
+    # the key is bound once per row, not cleaned again for every term
+    found = F.get(F.transform(F.array(clean(text)), look_up), F.lit(0))
+    return F.when(clean(text) != "", F.coalesce(found, title_case(outer(text))))
 
 
 def known(text: Column, dictionary: list[tuple[str, str]]) -> Column:
     """Canonical name of the longest term in a text, null where there is none."""
-    key = clean(text)
     table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c")) for t, c in dictionary])
-    return F.get(F.filter(table, lambda x: F.contains(key, x["t"])), F.lit(0))["c"]
+    first = lambda key: F.get(F.filter(table, lambda x: F.contains(key, x["t"])), F.lit(0))["c"]
+    return F.get(F.transform(F.array(clean(text)), first), F.lit(0))

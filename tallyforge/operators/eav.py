@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.attributes import Labels, read_value
 from ..functions.quantities import UnitTable
-from ..runtime import table, written
+from ..runtime import spread, table, written
 
 SQL_TYPES = {"int": "bigint", "boolean": "boolean", "text": "string", "decimal": "double"}
 
@@ -59,7 +59,7 @@ def read_rows(specs: DataFrame, attributes: list[tuple], units: list[tuple], typ
             yield pd.DataFrame(out, columns=["id", "machine_id", "attr_name", "text", "number"]).astype({"number": "float64"})
 
     source = specs.where("spec_key is not null and id is not null and spec_value is not null").select("id", "machine_id", "spec_key", "spec_value", "spec_unit")
-    return source.mapInPandas(read, "id long, machine_id long, attr_name string, text string, number double")
+    return spread(source).mapInPandas(read, "id long, machine_id long, attr_name string, text string, number double")
 
 
 def latest_cells(rows: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     materialised in the shared folder, so lineage does not grow and the work
     survives lost executors.  Nothing is collected but whether a frontier is empty.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = cut(seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantities import NUMBER, half_up, to_number
-from ..runtime import table
+from ..runtime import spread, table
 from .eav import attribute_list, read_rows, unit_rows
 
 # How currencies are written. Minor units count a hundredth.
@@ -108,7 +108,7 @@ def prices_in_eur(machines: DataFrame, rates: dict[str, float]) -> DataFrame:
     source = machines.where("price is not null and id is not null").select(
         "id", F.col("price").cast("double").alias("price"), F.when(~blank, F.col("currency")).alias("currency"), F.when(blank, F.col("description")).alias("description")
     )
-    return source.where("not isnan(price)").mapInPandas(convert, "id long, number double")
+    return spread(source.where("not isnan(price)")).mapInPandas(convert, "id long, number double")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

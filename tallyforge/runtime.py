@@ -31,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than the cluster has cores, dealt out over all of them.
+
+    For work that costs far more than moving its rows.  Larger scans, with
+    partitions for every core, stay as they are and move nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
