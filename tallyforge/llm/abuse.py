@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from . import labelled_passages as L
 from .hashed import Rows, bucket, sigmoid
 
@@ -224,5 +225,5 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 
     grp = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), grp.alias("grp"))
-    scored = source.mapInPandas(run, "doc_id long, grp string, severity double, p_any double, n_found long")
+    scored = spread(source).mapInPandas(run, "doc_id long, grp string, severity double, p_any double, n_found long")
     return scored if group_col else scored.drop("grp")

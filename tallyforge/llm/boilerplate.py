@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from . import labelled_lines as L
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -278,7 +279,7 @@ def boilerplate_lines(rows: DataFrame, id_col: str = "id", text_col: str = "desc
             yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "line_no": pd.Series(numbers, dtype="int64")})
 
     source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
-    return source.mapInPandas(run, "id long, line_no long")
+    return spread(source).mapInPandas(run, "id long, line_no long")
 
 
 def main_bodies(rows: DataFrame, id_col: str = "id", text_col: str = "description") -> DataFrame:
@@ -290,4 +291,4 @@ def main_bodies(rows: DataFrame, id_col: str = "id", text_col: str = "descriptio
             yield pd.DataFrame({"id": b["id"], "main_text": bodies})
 
     source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return source.mapInPandas(run, "id long, main_text string")
+    return spread(source).mapInPandas(run, "id long, main_text string")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 # Words around a brand or a type that are not part of it.
 LEGAL_FORMS = r"gmbh(?:\s*&\s*co\.?\s*kg)?|ag|se|kg|ltd\.?|limited|sa|s\.a\.?|inc\.?|corp\.?|llc|plc|s\.?p\.?a\.?|srl|s\.r\.l\.?|bv|b\.v\.?|oy|ab|a/s|&\s*co\.?(?:\s*kg)?"
 CONDITION_WORDS = r"used|gebr\.?|gebraucht\w*|d['’]occasion|occasion|usad[oa]s?|neu|new|nuev[oa]|neuf|neuve|refurbished|reconditioned|generalüberholt|überholt|second\s*hand|cnc"
@@ -227,4 +229,4 @@ def map_values(rows: DataFrame, id_col: str, fields: dict[str, tuple[str, list[t
                 yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "field": name, "ref_id": pd.Series(refs, dtype="int64")})
 
     source = rows.select(F.col(id_col).alias("id"), *[F.col(c).alias(name) for name, (c, _) in fields.items()]).where("id is not null")
-    return source.mapInPandas(run, "id long, field string, ref_id long")
+    return spread(source).mapInPandas(run, "id long, field string, ref_id long")

@@ -1,8 +1,8 @@
 """Fixed-capacity containers filled with texts of varying length.
 
-Only the histogram of lengths is planned, on the driver: it has at most as
-many entries as the capacity has tokens, however many texts there are.  Lengths
-are put into classes (exact for short ones, within 1/160 for long ones), shallow
+Only the histogram of lengths is planned, in one task per capacity: it has at
+most as many entries as the capacity has tokens, however many texts there are.  Lengths
+are put into classes (exact for short ones, within 1/128 for long ones), shallow
 combinations of classes that fill a window below the capacity are enumerated,
 and non-negative least squares solves how often each is repeated to use up the
 histogram.  Repeats are rounded down; what is left is packed greedily on the
@@ -16,6 +16,7 @@ full containers and a rest that is packed like any other text.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ def length_classes(capacity: int) -> np.ndarray:
     """Upper bounds of the length classes."""
     bounds, at = [], 0
     while at < capacity:
-        at = min(capacity, at + max(1, at // 160))
+        at = min(capacity, at + max(1, at // 128))
         bounds.append(at)
     return np.array(bounds)
 
@@ -73,7 +74,7 @@ def combinations(bounds: np.ndarray, capacity: int, have: np.ndarray, window: fl
     return list(out.values())
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 60, at_once: int = 32) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 24, at_once: int = 64) -> np.ndarray:
     """min |a x - b| with x >= 0, by the active set method; several columns with a rising gradient enter in a round."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, dtype=bool)
@@ -227,8 +228,16 @@ def pack(sized: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
     pieces = each.select("container_name", "capacity", "doc_id", "tokens", F.explode(F.sequence(F.lit(1), parts)).alias("part_no"))
     pieces = pieces.withColumn("length", F.least(F.col("capacity"), F.col("tokens") - (F.col("part_no") - 1) * F.col("capacity")))
     # at most one row per capacity and length
-    counted = pieces.where("length > 0").groupBy("container_name", "length").agg(F.count("*").alias("n")).collect()
-    plans = {name: plan({r["length"]: r["n"] for r in counted if r["container_name"] == name}, cap)[0] for name, cap in capacities}
+    counted = pieces.where("length > 0").groupBy("container_name", "capacity", "length").agg(F.count("*").alias("n"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (name, capacity), own in pd.concat([*batches, pd.DataFrame(columns=["container_name", "capacity", "length", "n"])]).groupby(["container_name", "capacity"]):
+            where, _ = plan(dict(zip(own["length"].tolist(), own["n"].tolist())), int(capacity))
+            yield pd.DataFrame({"name": [name], "plan": [pickle.dumps(where)]})
+
+    # about one task per capacity
+    solved = counted.repartition(4 * len(capacities), "container_name").mapInPandas(solve, "name string, plan binary")
+    plans = {r["name"]: pickle.loads(r["plan"]) for r in solved.collect()}
     shared = spark.sparkContext.broadcast(plans)  # bounded by the capacities, not by the texts
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

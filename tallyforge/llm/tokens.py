@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 DEFAULT_VOCABULARY = os.environ.get("TALLYFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
@@ -58,4 +60,4 @@ def with_tokens(docs: DataFrame, columns: list[str], text_col: str = "text", voc
 
     source = docs.select(*columns, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text")
-    return source.mapInPandas(run, f"{schema}, tokens long")
+    return spread(source).mapInPandas(run, f"{schema}, tokens long")
