@@ -155,6 +155,7 @@ NUMBER = r"\d{1,3}(?:[,.'’][0-9]{3}|[\s][0-9]{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?
 _NUM = re.compile(NUMBER)
 _HEAD = re.compile(r"^(?:ca|approx|aprox|env|environ|about|around|etwa|circa|up to|max|bis|bis zu|hasta|jusqu'à|≤|<=|<|~|≈|±)?\.?\s*", re.I)
 _RANGE = re.compile(r"\s*(?:-|–|—|…|\.\.\.?|to|bis|à|a|hasta)\s*", re.I)
+_BOTH = re.compile(r"\s*([^\d\s(][^\d(]*?)\s*(?:-|–|—|…|\bto\b|\bbis\b|\bà\b|\bhasta\b)\s*(\d.*)$", re.I)
 _FEET = re.compile(r"(\d+)\s*(?:ft\.?|feet|foot|['′’])\s*(\d+(?:[.,]\d+)?)?\s*(?:in\.?|inches|inch|[\"″”]|'')?\s*", re.I)
 _FRACTION = re.compile(r"(\d+)[\s-]+(\d+)/(\d+)\s*(.*)", re.S)
 
@@ -214,6 +215,8 @@ def read_quantity(value: str | None, units: UnitTable, quantity: str, fallbacks:
                 if got is not None:
                     return got
             continue
+        if (m := _BOTH.match(rest)) and units.parsed(m[1]) is not None and (upper := read_quantity(m[2], units, quantity, (m[1],))) is not None:
+            return upper
         stated = units.parsed(rest) is not None
         got = _first(sign * number, (rest,) if stated else fallbacks, units, quantity)
         if got is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import mutations as M
+from ..operators.rolling import look_back
 from ..runtime import table
 
 NOW = "2026-06-01 00:00:00"
@@ -52,10 +53,12 @@ def q_status_counts(spark, d):
 
 def q_crawl_health(spark, d):
     """Runs below 80 % of what their site found before, and third errors in a row."""
-    w = W.partitionBy("website_id").orderBy("started_at", "id")
-    runs = _runs(spark, d).where("website_id is not null and started_at is not null")
-    failed = (F.col("status") == "error").cast("int")
-    out = runs.select("id", "website_id", "machines_found", F.lag("machines_found").over(w).alias("before"), F.sum(failed).over(w.rowsBetween(-2, 0)).alias("failed3"))
+    runs = _runs(spark, d).where("website_id is not null and started_at is not null").select("id", "website_id", "started_at", "machines_found", (F.col("status") == "error").cast("int").alias("failed"))
+    seen = look_back(runs, "website_id", ["started_at", "id"], F.trunc("started_at", "month"), F.struct("machines_found", "failed"), 2)
+    three = F.concat(F.array("failed"), F.transform("before", lambda x: x["failed"]))
+    known = F.filter(three, lambda x: x.isNotNull())
+    failed3 = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("bigint"), lambda a, x: a + x))
+    out = seen.select("id", "website_id", "machines_found", F.get("before", F.lit(0))["machines_found"].alias("before"), failed3.alias("failed3"))
     return out.where("machines_found < 0.8 * before or failed3 = 3").select("id", "website_id", "machines_found", "before", "failed3")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -105,8 +104,8 @@ def q_canonical(spark, d):
     """Offers of one identity across sites: the first id and how many more there are."""
     key = F.sha2(F.concat_ws("|", T.slug(F.coalesce("brand", F.lit(""))), T.slug(F.coalesce("model", F.lit(""))), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("condition", F.lit(""))), 256)
     rows = _m(spark, d).where("brand is not null and model is not null").select("id", key.alias("key"))
-    w = W.partitionBy("key")
-    return rows.select("id", F.min("id").over(w).alias("canonical_id"), (F.count("*").over(w) - 1).alias("more"))
+    groups = rows.groupBy("key").agg(F.min("id").alias("canonical_id"), (F.count("*") - 1).alias("more"))  # aggregated before the shuffle, so that a hot key is no single task
+    return rows.join(groups, "key").select("id", "canonical_id", "more")
 
 
 _ALIAS = f"(select {Q.clean('alias')} as key, min(brand_name) as canonical from (select brand_name, unnest(list_concat([brand_name], string_split(coalesce(aliases,''),';'))) as alias from brand_ref) where alias <> '' group by 1)"

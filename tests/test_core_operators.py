@@ -114,3 +114,15 @@ def test_sitemaps(spark):
     index = "<sitemapindex><sitemap><loc>r</loc></sitemap><sitemap><loc>s</loc></sitemap></sitemapindex>"
     files = spark.createDataFrame([("r", index), ("s", good), ("t", good)], "url string, xml string")
     assert rows(sitemap.collect_urls(files, spark.createDataFrame([("r",)], "url string"))) == [("https://h/machine/1/",)]
+
+
+def test_looking_back_across_buckets(spark):
+    from tallyforge.operators.rolling import look_back
+
+    data = [("k" if n % 3 else "h", (n * 7) % 50, n) for n in range(120)] + [("solo", 1, 1)]
+    df = spark.createDataFrame(data, "k string, t long, id long")
+    got = {r.id if r.k != "solo" else -1: list(r.before) for r in look_back(df, "k", ["t", "id"], F.floor(F.col("t") / 9), F.col("t") * 1000 + F.col("id"), 3).collect()}
+    for key in ("k", "h", "solo"):
+        own = sorted((t, i) for k, t, i in data if k == key)
+        for p, (_, i) in enumerate(own):
+            assert got[-1 if key == "solo" else i] == [a * 1000 + b for a, b in reversed(own[max(0, p - 3): p])]

@@ -18,7 +18,7 @@ UNITS = UnitTable([
     ("1,250 kg", "mass", (), 1250), ("1.250 kg (net)", "mass", (), 1250), ("12,5", "mass", ("t",), 12500), ("2 566 kg *", "mass", (), 2566), ("2'249 kg", "mass", (), 2249),
     ("5-51.5", "power", ("hp",), 38404), ("169501/min", "rotation", (), 16950), ("13.3 x1000 rpm", "rotation", (), 13300), ("15300 min-1", "rotation", (), 15300), ("102 1/s", "rotation", (), 6120),
     ("2 ft 11 in", "length", (), 889), ("79 1/2\"", "length", (), 2019), ("10.66 N/mm2", "pressure", (), 10660), ("3289 lbf/in2", "pressure", (), 22677),
-    ("364 °F", "temperature", (), 184), ("553K", "temperature", (), 280), ("1.15 m3", "volume", ("l",), 1150), ("7", "mass", ("bar", "t"), 7000), ("up to 13.362", "mass", ("KG",), 13362),
+    ("364 °F", "temperature", (), 184), ("553K", "temperature", (), 280), ("1.15 m3", "volume", ("l",), 1150), ("7", "mass", ("bar", "t"), 7000), ("up to 13.362", "mass", ("KG",), 13362), ("3 kg - 5 kg", "mass", (), 5), ("3 to 34.3 t", "mass", (), 34300), ("1.58 to", "mass", ("kg",), 1580),
 ])
 def test_quantities(value, quantity, units, expected):
     assert half_up(read_quantity(value, UNITS, quantity, units)) == expected
