@@ -28,6 +28,8 @@ FIELD_KEYS = {
 URL_KEYS = ["url", "link", "href", "product_url", "machine_url", "permalink", "canonical_url", "page_url", "detail_url"]
 SLUG_KEYS = ["slug", "handle", "url_key", "url_slug", "path"]
 ID_KEYS = ["id", "ID", "productId", "product_id", "machineId", "machine_id", "sku"]
+IMAGE_KEYS = ["images", "photos", "gallery", "bilder", "fotos"]
+SPEC_KEYS = ["specs", "specifications", "attributes", "features"]
 PRODUCT_KEYS = ["brand", "make", "manufacturer", "model", "price", "machine_name", "title"]
 
 
@@ -56,6 +58,27 @@ def field(item: Column, name: str) -> Column:
     return F.coalesce(*[at(item, k) for k in FIELD_KEYS[name]])
 
 
+def images(item: Column) -> Column:
+    """Picture addresses of an item, given as texts or as objects with url or src; a single address counts as a list of one."""
+    def of(key: str) -> Column:
+        raw = F.get_json_object(item, f"$.{key}")
+        each = F.transform(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), lambda v: F.to_json(v))
+        picked = F.transform(each, lambda x: F.coalesce(F.get_json_object(x, "$.url"), F.get_json_object(x, "$.src"), F.when(x.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), x, F.lit("}")), "$.x"))))
+        return F.when(raw.startswith("["), F.filter(picked, lambda x: x.isNotNull())).when(raw.startswith("http"), F.array(raw))
+    return F.coalesce(*[of(k) for k in IMAGE_KEYS], F.array().cast("array<string>"))
+
+
+def specs(item: Column) -> Column:
+    """Specifications of an item as a map, given as an object or as a list of name and value."""
+    def of(key: str) -> Column:
+        raw = F.get_json_object(item, f"$.{key}")
+        listed = F.from_json(raw, "array<struct<name string, value string>>")
+        named = F.filter(listed, lambda x: x["name"].isNotNull())
+        distinct = F.filter(named, lambda x: F.size(F.filter(named, lambda y: y["name"] == x["name"])) == 1)
+        return F.when(raw.startswith("{"), F.from_json(raw, "map<string,string>")).when(raw.startswith("["), F.map_from_arrays(F.transform(distinct, lambda x: x["name"]), F.transform(distinct, lambda x: x["value"])))
+    return F.coalesce(*[of(k) for k in SPEC_KEYS], F.create_map().cast("map<string,string>"))
+
+
 def product_url(item: Column, origin: Column) -> Column:
     """The address of an item: a stated one, one from its slug, one from its id, else empty."""
     stated = [F.when(at(item, k).startswith("http"), at(item, k)).when(at(item, k).startswith("/"), F.concat(origin, at(item, k))) for k in URL_KEYS]

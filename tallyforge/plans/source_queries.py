@@ -16,7 +16,7 @@ from ..functions import json_ops as J
 from ..functions import urls as U
 from ..operators import dictionary as D
 from ..runtime import shared_dir, table
-from ..sources import api_pages, html, sitemap
+from ..sources import api_pages, html, shops, sitemap
 from ..streaming import incremental
 from . import sqltext as Q
 
@@ -159,6 +159,51 @@ def q_pagination(spark, d):
     return n.select("id", F.explode(F.sequence(F.lit(2), F.col("pages"))).alias("page"))
 
 
+def q_jsonld(spark, d):
+    """Only the JSON-LD layer: the product's name and maker, straight from the script by built-ins."""
+    script = F.regexp_extract("html", r'(?s)<script type="application/ld\+json">(.*?)</script>', 1)
+    rows = _pages(spark, d).select("id", F.replace(script, F.lit("<\\/"), F.lit("</")).alias("j")).where("j <> ''")
+    return rows.where(F.get_json_object("j", "$.@type") == "Product").select("id", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.brand.name").alias("brand"))
+
+
+def q_og_meta(spark, d):
+    """Only the OpenGraph layer."""
+    pages = _pages(spark, d).select("id", F.regexp_extract("html", '<meta property="og:title" content="([^"]*)"', 1).alias("title"))
+    return pages.where("title <> ''").select("id", F.replace(F.replace(F.replace(F.replace("title", F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")).alias("title"))
+
+
+def _shop_pages(spark, d, kind):
+    m = _m(spark, d).select("id", "brand", F.coalesce("machine_name", F.lit("")).alias("name"), "machine_type", F.col("price").cast("string").alias("price"), "stock_number", "thumbnail_url")
+    picture = F.array(F.struct(F.col("thumbnail_url").alias("src")))
+    slug = F.concat(F.lit("m-"), F.col("id").cast("string"))
+    if kind == "a":
+        item = F.struct(F.col("name").alias("title"), F.col("brand").alias("vendor"), F.col("machine_type").alias("product_type"), slug.alias("handle"), F.array(F.struct("price", F.col("stock_number").alias("sku"))).alias("variants"), picture.alias("images"))
+    else:
+        item = F.struct("name", slug.alias("slug"), F.col("stock_number").alias("sku"), "price", F.array(F.struct(F.col("brand").alias("name"))).alias("brands"), F.array(F.struct(F.col("machine_type").alias("name"))).alias("categories"), picture.alias("images"))
+    listed = m.select(F.floor(F.col("id") / 100).alias("page"), item.alias("item")).groupBy("page").agg(F.collect_list("item").alias("products"))  # pages of at most 100 items
+    return listed.select(F.to_json(F.struct("products") if kind == "a" else F.col("products")).alias("payload"))
+
+
+def q_shop_products(spark, d):
+    out = shops.products_json(_shop_pages(spark, d, "a"), "payload", F.lit("https://a.example"))
+    return out.select("machine_name", "brand", "model", "machine_type", "price", "stock_number", F.size("images").alias("n_images"), "source_url")
+
+
+def q_shop_list(spark, d):
+    out = shops.product_list(_shop_pages(spark, d, "b"), "payload", F.lit("https://b.example"))
+    return out.select("machine_name", "brand", "model", "machine_type", "price", F.size("images").alias("n_images"), "source_url")
+
+
+def q_api_details(spark, d):
+    """Pictures and specifications of items, in each of the shapes they come in."""
+    k = F.col("id") % 3
+    u = F.coalesce("thumbnail_url", F.lit("http://none"))
+    item = F.when(k == 0, F.to_json(F.struct(F.col("id"), F.array(F.struct(u.alias("src")), F.struct(u.alias("src"))).alias("photos"), F.struct(F.col("year").cast("string").alias("Year"), F.lit("5").alias("kW")).alias("specs")))).when(
+        k == 1, F.to_json(F.struct(F.col("id"), F.array(u).alias("images"), F.array(F.struct(F.lit("kW").alias("name"), F.lit("7").alias("value"))).alias("attributes")))).otherwise(F.to_json(F.struct(F.col("id"), u.alias("gallery"))))
+    rows = _m(spark, d).select(item.alias("item"))
+    return rows.select(J.at(F.col("item"), "id").cast("bigint").alias("id"), F.size(J.images(F.col("item"))).alias("n_images"), F.get(J.images(F.col("item")), F.lit(0)).alias("first_image"), F.try_element_at(J.specs(F.col("item")), F.lit("kW")).alias("kw"))
+
+
 def q_page_text(spark, d):
     return _pages(spark, d).select("id", html.visible_text(F.col("html")).alias("text"))
 
@@ -225,7 +270,7 @@ _SPACE = "regexp_replace(regexp_replace({},'\\s+',' ','g'),'^ +| +$','','g')"
 _SQUEEZED = "trim(regexp_replace({},'[\\s ]+',' ','g'))"
 _FILE = "'https://s.example/sm-'||cast(floor(id/200) as bigint)||'.xml'"
 
-QUERIES = {f.__name__: f for f in (q_normalize_type, q_fill_types, q_json_path, q_json_total, q_json_items, q_api_items, q_product_url, q_json_config, q_json_products, q_json_count, q_api_pages, q_extract_pages, q_internal_links, q_next_page, q_pagination, q_page_text, q_js_rendered, q_api_endpoints, q_rsc_hrefs, q_sitemap_parse, q_sitemap_urls, q_stream_dedupe, q_stream_upsert)}
+QUERIES = {f.__name__: f for f in (q_normalize_type, q_fill_types, q_json_path, q_json_total, q_json_items, q_api_items, q_product_url, q_json_config, q_json_products, q_json_count, q_api_pages, q_extract_pages, q_internal_links, q_next_page, q_pagination, q_page_text, q_jsonld, q_og_meta, q_shop_products, q_shop_list, q_api_details, q_js_rendered, q_api_endpoints, q_rsc_hrefs, q_sitemap_parse, q_sitemap_urls, q_stream_dedupe, q_stream_upsert)}
 ORACLE_SQL = {
     "q_normalize_type": f"""with t as {_TERMS}, m as (select id, machine_type, {Q.clean('machine_type')} as key from machines), best as (select m.id, arg_max(canonical, struct_pack(e:=(term=key)::int, n:=length(term), o:=-rn)) as c from m join (select *, row_number() over (order by term) as rn from t) t on contains(m.key, t.term) where m.key<>'' group by 1)
         select id, case when key<>'' then coalesce(c, {Q.title_case(Q.outer('machine_type'))}) end as type from m left join best using (id)""",
@@ -248,6 +293,11 @@ ORACLE_SQL = {
     "q_next_page": "select id, '?page='||(id%7+2) as href from machines where id%2=0",
     "q_pagination": "select id, cast(unnest(range(2, id%7+3)) as integer) as page from machines where id%2=0",
     "q_page_text": "select id, " + _SPACE.format("'T M Cart '||" + _NAME + "||' '||case when id%4=2 then " + _BRAND + "||' '||coalesce(cast(price as varchar),'0.00')||' ' else '' end||'Id '||id||' Site '||coalesce(cast(website_id as varchar),'0')||' '||case when id%2=0 then 'Weiter' else 'Mail Top' end") + " as text from machines",
+    "q_jsonld": f"select id, {_NAME} as name, {_BRAND} as brand from machines where id%4=0",
+    "q_og_meta": f"select id, {_NAME} as title from machines where id%4=1 and {_NAME}<>''",
+    "q_shop_products": f"select case when coalesce(machine_name,'')='' then 'm-'||id else machine_name end as machine_name, {Q.strip_corporate('brand')} as brand, 'm-'||id as model, coalesce(machine_type,'') as machine_type, {_PRICE} as price, coalesce(stock_number,'') as stock_number, cast(coalesce(thumbnail_url,'')<>'' as integer) as n_images, 'https://a.example/products/m-'||id as source_url from machines",
+    "q_shop_list": f"select coalesce(machine_name,'') as machine_name, {Q.strip_corporate('brand')} as brand, case when coalesce(stock_number,'')='' then 'm-'||id else stock_number end as model, coalesce(machine_type,'') as machine_type, {_PRICE} as price, cast(coalesce(thumbnail_url,'')<>'' as integer) as n_images, 'https://b.example/product/m-'||id as source_url from machines",
+    "q_api_details": "select id, cast(case when id%3=0 then 2 else 1 end as integer) as n_images, coalesce(thumbnail_url,'http://none') as first_image, case id%3 when 0 then '5' when 1 then '7' end as kw from machines",
     "q_js_rendered": "select id, id%2=0 as needs_script from machines",
     "q_api_endpoints": "select id, unnest(['/api/v1/machines/'||id, 'https://x.example/rest/items', '/data/list.json?p=1']) as endpoint from machines",
     "q_rsc_hrefs": "select id, unnest(['/machines/'||id, '/about']) as href, unnest([true,false]) as product from machines",
