@@ -83,7 +83,7 @@ def q_schedule(spark, d):
     n = sites.agg(F.count("*").alias("n"))  # one row
     placed = sites.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_first("last_crawled_at"), "id")) - 1).crossJoin(n)
     step = F.floor(F.lit(86400) / F.col("n"))
-    return placed.select("id", "place", (F.col("place") * step).cast("bigint").alias("offset_s"))
+    return placed.select("id", F.col("place").cast("bigint").alias("place"), (F.col("place") * step).cast("bigint").alias("offset_s"))
 
 
 def q_admin_list(spark, d):
@@ -106,14 +106,14 @@ def q_machine_detail(spark, d):
     specs = table(spark, d, "machine_specs").groupBy("machine_id").agg(F.count("*").alias("n_specs"))
     m = table(spark, d, "machines").select("id", "thumbnail_url")
     joined = m.join(images, F.col("id") == images.machine_id, "left").drop("machine_id").join(specs, F.col("id") == specs.machine_id, "left")
-    return joined.select("id", F.coalesce(F.get("images", F.lit(0))["image_url"], "thumbnail_url").alias("picture"), F.coalesce(F.size("images"), F.lit(0)).alias("n_images"), F.coalesce("n_specs", F.lit(0)).alias("n_specs"))
+    return joined.select("id", F.coalesce(F.get("images", F.lit(0))["image_url"], "thumbnail_url").alias("picture"), F.coalesce(F.size("images"), F.lit(0)).cast("bigint").alias("n_images"), F.coalesce("n_specs", F.lit(0)).alias("n_specs"))
 
 
 def q_topk_per_group(spark, d):
     """The first five images of each machine."""
     w = W.partitionBy("machine_id").orderBy("id")
     rows = table(spark, d, "machine_images").where("machine_id is not null").withColumn("place", F.row_number().over(w)).where("place <= 5")
-    return rows.select("machine_id", "id", "place", (F.col("place") == 1).alias("is_first"))
+    return rows.select("machine_id", "id", F.col("place").cast("bigint").alias("place"), (F.col("place") == 1).alias("is_first"))
 
 
 def q_saved(spark, d):
@@ -138,7 +138,7 @@ def _upserted(spark, d, modes):
 
 def q_upsert(spark, d):
     out = _upserted(spark, d, {"price": "coalesce", "description": "coalesce", "last_crawled_at": "overwrite"})
-    return out.select("content_hash", "id", "price", F.length("description").alias("n_text"), "last_crawled_at", "change")
+    return out.select("content_hash", "id", "price", F.length("description").cast("bigint").alias("n_text"), "last_crawled_at", "change")
 
 
 def q_upsert_touch(spark, d):
@@ -192,8 +192,8 @@ ORACLE_SQL = {
     "q_recent_crawls": f"select id, coalesce(name,'Website #'||coalesce(cast(website_id as varchar),'?')) as site, status, started_at from (select * from {_RUNS} order by started_at desc nulls last, id desc limit 200) r left join {_NAMES} n using (website_id)",
     "q_crawl_report": f"select id, coalesce(name,'-') as site, status, cast(trunc((epoch_us(finished_at)-epoch_us(started_at))/1000000.0) as bigint) as seconds, machines_found from {_RUNS} r left join {_NAMES} n using (website_id)",
     "q_latest_run": f"select website_id, id as run_id, started_at from (select *, row_number() over (partition by website_id order by started_at desc, id desc) as k from {_RUNS} where website_id is not null and started_at is not null) where k=1",
-    "q_status_counts": f"select status, count(*) as n, sum(machines_found) as found, sum(coalesce(errors_count,0)) as errors from {_RUNS} group by status",
-    "q_crawl_health": f"select id, website_id, machines_found, before, failed3 from (select id, website_id, machines_found, lag(machines_found) over w as before, sum(case when status='error' then 1 when status is null then null else 0 end) over (partition by website_id order by started_at, id rows between 2 preceding and current row) as failed3 from {_RUNS} where website_id is not null and started_at is not null window w as (partition by website_id order by started_at, id)) where machines_found < 0.8*before or failed3=3",
+    "q_status_counts": f"select status, count(*) as n, cast(sum(machines_found) as bigint) as found, cast(sum(coalesce(errors_count,0)) as bigint) as errors from {_RUNS} group by status",
+    "q_crawl_health": f"select id, website_id, machines_found, before, failed3 from (select id, website_id, machines_found, lag(machines_found) over w as before, cast(sum(case when status='error' then 1 when status is null then null else 0 end) over (partition by website_id order by started_at, id rows between 2 preceding and current row) as bigint) as failed3 from {_RUNS} where website_id is not null and started_at is not null window w as (partition by website_id order by started_at, id)) where machines_found < 0.8*before or failed3=3",
     "q_deviation": "select website_id, machine_count, n, round(abs(machine_count-n)/cast(n as double),6) as off from (select id as website_id, machine_count from websites) s join (select website_id, count(*) as n from machines group by 1) r using (website_id) where n>0 and machine_count is not null and round(abs(machine_count-n)/cast(n as double),6)>0.2",
     "q_recount": "select s.id as website_id, count(m.id) as n_all, count(m.id) filter (where m.is_active) as n_active from websites s left join machines m on m.website_id=s.id group by s.id",
     "q_schedule": "select id, place, cast(place*floor(86400/n) as bigint) as offset_s from (select id, row_number() over (order by last_crawled_at asc nulls first, id)-1 as place, count(*) over () as n from websites where is_active and crawl_enabled)",

@@ -89,7 +89,7 @@ def q_category_urls(spark, d):
 
 def q_product_urls(spark, d):
     """The best forty links of each site, one per cleaned address: a top-k report."""
-    return L.top_links(L.category_scores(_anchors(spark, d), "website_id", "url", "zone", "base"), "website_id", "url")
+    return L.top_links(L.category_scores(_anchors(spark, d), "website_id", "url", "zone", "base"), "website_id", "url").withColumn("place", F.col("place").cast("bigint"))
 
 
 def q_abs_links(spark, d):
@@ -107,7 +107,7 @@ def q_listing_pages(spark, d):
 def q_best_candidate(spark, d):
     """The best entry of each site by three keys, the first id winning ties."""
     rows = table(spark, d, "machines").where("website_id is not null").select("id", "website_id", F.col("price").isNotNull().alias("has_price"), F.coalesce(F.length("description"), F.lit(0)).alias("n_text"), F.coalesce("year", F.lit(0)).alias("year"))
-    return L.best_candidates(rows, "website_id", ["has_price", "n_text", "year"], "id").select("website_id", "id", "n_text")
+    return L.best_candidates(rows, "website_id", ["has_price", "n_text", "year"], "id").select("website_id", "id", F.col("n_text").cast("bigint").alias("n_text"))
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
