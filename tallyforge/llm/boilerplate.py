@@ -156,7 +156,7 @@ def _fill(text: str, rng: random.Random) -> str:
     model = lambda: letters(rng.choice([2, 2, 3])) + join + str(rng.choice([rng.randint(100, 9999), rng.randint(1000, 49999)])) + rng.choice(["", "", join + rng.choice(["S", "L", "XL", "II", "Plus"])])
     name = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice(["a", "e", "i", "o", "u", "en", "or", "al"]) for _ in range(n)).capitalize()
     brand = lambda: rng.choice([name(3), name(3), name(4), name(2) + " " + name(3), name(2) + "-" + name(2), rng.choice(L.BRANDS)])
-    kind = lambda: rng.choice([name(5), name(3) + " Machine", name(3) + " " + name(3), rng.choice(L.TYPES), rng.choice(L.TYPES).lower()])
+    kind = lambda: rng.choice([name(5), name(3) + " Machine", name(3) + " " + name(3), name(4) + " " + name(3) + " " + name(3), name(3) + " de " + name(2) + " " + name(3), rng.choice(L.TYPES), rng.choice(L.TYPES).lower()])
     place = lambda: rng.choice([name(3), name(4), name(2) + "-" + name(3), name(2) + "-le-" + name(1), rng.choice(L.PLACES)])
     dealer = lambda: rng.choice([rng.choice(L.DEALERS), name(3) + " " + rng.choice(L.DEALERS).split(" ", 1)[1]])
     for mark, value in (("{B}", brand), ("{M}", model), ("{T}", kind), ("{P}", place), ("{C}", dealer),
@@ -191,7 +191,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[list[tuple[str, int]]]:
                 page += [(a, 1) for a in picked]
             else:
                 page.append((rng.choice([" | ", " · ", " > ", " / ", "   ", " » "]).join(picked), 1))
-        if rng.random() < 0.3:
+        if rng.random() < 0.4:
             sep = rng.choice([" / ", " > ", " :: ", " » ", " | "])
             page.append((_fill(sep.join([rng.choice(anchors), "{T}", "{B}"]), rng), 1))
         body: list[tuple[str, int]] = []
@@ -216,7 +216,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[list[tuple[str, int]]]:
             page += [(_fill(f, rng), 1) for f in rng.sample(foot, rng.randint(1, min(5, len(foot))))]
         if page and rng.random() < 0.25:  # what comes after some line is missing
             page = page[: rng.randint(1, len(page))]
-        if page and rng.random() < 0.2:  # cut off somewhere in the last line
+        if page and rng.random() < 0.3:  # cut off somewhere in the last line
             text, label = page[-1]
             text = text[: rng.randint(1, len(text))] + rng.choice(["", "", "...", "…", " [...]", "&nb", "<br"])
             page[-1] = (text, label)

@@ -151,6 +151,10 @@ Tooling also fits the {B} {M}.
 On request we also have the {B} {M} in the yard.
 Asking price {N} GBP ex works.
 Price: {N} EUR plus VAT.
+Price: US Dollar {N} plus VAT.
+Price: {N} US$ plus VAT.
+Asking price {N} Fr. ex works.
+Asking price Swedish krona {N} ex works.
 Details follow.
 More information soon.
 Machine in stock.
@@ -175,6 +179,9 @@ Werkzeuge passen auch zur {B} {M}.
 Auf Wunsch auch als {B} {M} lieferbar.
 Preis: {N} CHF ab Standort.
 Preisvorstellung {N} EUR netto.
+Preis: {N} Fr. ab Standort.
+Preis: {N} US$ ab Standort.
+Preisvorstellung {N} Franken netto.
 Angaben folgen.
 Maschine am Lager.
 Zubehör, Spannmittel usw. ...
@@ -195,6 +202,8 @@ L'outillage convient aussi à la {B} {M}.
 Existe aussi en version {B} {M}.
 Prix : {N} EUR départ usine.
 Prix demandé {N} EUR hors taxes.
+Prix demandé {N} Fr. hors taxes.
+Prix : US$ {N} départ usine.
 Détails à suivre.
 Machine en stock.
 Outillage, étaux, etc...
@@ -215,6 +224,7 @@ El utillaje sirve también para la {B} {M}.
 También disponible como {B} {M}.
 Precio {N} EUR sin IVA.
 Se pide {N} EUR en origen.
+Precio {N} US$ sin IVA.
 Más datos en breve.
 Máquina en almacén.
 Utillaje, mordazas, etc...
