@@ -3,8 +3,8 @@
 A page is a run of flat text blocks, one per line.  Each block gets its word
 count and its link density - the weight of its words as anchor and notice
 words, as the markup itself is gone - together with those of the neighbouring
-blocks and a few marks of form (separators, bullet, closing point, digits).  A
-decision tree decides; words' weights and tree are both fitted on the small
+blocks and a few marks of form (separators, bullet, closing point, digits).
+Decision trees decide; words' weights and trees are fitted on the small
 labelled table in ``labelled_lines``, on pages put together from it.  Scoring
 is one Arrow pass without a shuffle.
 """
@@ -35,7 +35,7 @@ FEATURES = ("words", "density", "anchors", "first_anchor", "separators", "bullet
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in _WORD.findall(text.lower()) if len(w) > 1 or w in "©"]
+    return [w for w in _WORD.findall(text.lower()) if len(w) > 1]
 
 
 class Lexicon:
@@ -53,9 +53,18 @@ class Lexicon:
         self.anchors = anchors
         self.features = lru_cache(maxsize=400_000)(self._features)
 
+    def __getstate__(self):
+        return self.weight, self.anchors
+
+    def __setstate__(self, state):
+        self.weight, self.anchors = state
+        self.features = lru_cache(maxsize=400_000)(self._features)
+
     def _features(self, shape: str) -> tuple[float, ...]:
         """Line features; ``shape`` is the line with its digits as 0."""
-        words = _words(shape)
+        words = _words(_CODE.sub(" ", shape))  # the letters of a model code are no words
+        if len(words) <= 12 and _CODE.search(shape):  # the short words of a title's names join words everywhere
+            words = [w for w in words if len(w) > 3]
         n = len(words)
         weights = [self.weight.get(w, 0.0) for w in words]
         parts = [p.strip().lower() for p in _SEPARATOR.split(shape) if p and p.strip()]
@@ -118,7 +127,7 @@ class Tree:
             impurity = k * left * (1 - left) + (len(y) - k) * right * (1 - right)
             b = int(np.argmin(impurity))
             if best is None or impurity[b] < best[0] - 1e-9:
-                best = (impurity[b], j, float((v[k[b] - 1] + v[k[b]]) / 2))
+                best = (impurity[b], j, float(v[k[b] - 1]))
         if best is None:
             return at
         _, j, cut = best
@@ -142,6 +151,16 @@ class Tree:
         return out
 
 
+class Trees:
+    """Decision trees on different halves of the pages, averaged: one tree's borders hang on single pages."""
+
+    def __init__(self, trees: list[Tree]):
+        self.trees = trees
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return sum(t.score(x) for t in self.trees) / len(self.trees)
+
+
 def _bare(text: str, rng: random.Random) -> str:
     """A labelled line for the lexicon: the fillers say nothing about its class, but for the trade words of dealers."""
     return re.sub(r"\{[A-Z]\}", " ", text.replace("{C}", rng.choice(L.DEALERS).split(" ", 1)[1]))
@@ -155,8 +174,8 @@ def _fill(text: str, rng: random.Random) -> str:
     join = rng.choice([" ", " ", "-", ""])
     model = lambda: letters(rng.choice([2, 2, 3])) + join + str(rng.choice([rng.randint(100, 9999), rng.randint(1000, 49999)])) + rng.choice(["", "", join + rng.choice(["S", "L", "XL", "II", "Plus"])])
     name = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice(["a", "e", "i", "o", "u", "en", "or", "al"]) for _ in range(n)).capitalize()
-    brand = lambda: rng.choice([name(3), name(3), name(4), name(2) + " " + name(3), name(2) + "-" + name(2), rng.choice(L.BRANDS)])
-    kind = lambda: rng.choice([name(5), name(3) + " Machine", name(3) + " " + name(3), name(4) + " " + name(3) + " " + name(3), name(3) + " de " + name(2) + " " + name(3), rng.choice(L.TYPES), rng.choice(L.TYPES).lower()])
+    brand = lambda: rng.choice([name(3) + " " + rng.choice(L.MAKER_WORDS.split(";")), name(3), name(3), name(4), name(2) + " " + name(3), name(2) + "-" + name(2), rng.choice(L.BRANDS)])
+    kind = lambda: rng.choice([name(5), name(3) + " Machine", name(3) + " " + name(3), name(4) + " " + name(3) + " " + name(3), name(3) + " de " + name(2) + " " + name(3), name(3) + " por " + name(3), name(4) + " par " + name(3), "Die " + name(3) + " " + name(2), rng.choice(L.TYPES), rng.choice(L.TYPES).lower()])
     place = lambda: rng.choice([name(3), name(4), name(2) + "-" + name(3), name(2) + "-le-" + name(1), rng.choice(L.PLACES)])
     dealer = lambda: rng.choice([rng.choice(L.DEALERS), name(3) + " " + rng.choice(L.DEALERS).split(" ", 1)[1]])
     for mark, value in (("{B}", brand), ("{M}", model), ("{T}", kind), ("{P}", place), ("{C}", dealer),
@@ -205,7 +224,7 @@ def labelled_pages(n: int, seed: int = 11) -> list[list[tuple[str, int]]]:
                 body.append((bullet + _fill(f, rng), 0))
             rng.shuffle(body)
         else:
-            body.append((rng.choice([x for x in L.MAIN[own].split("\n") if "{" not in x]), 0))
+            body.append((rng.choice(L.BARE[own].split(";") if rng.random() < 0.8 else [x for x in L.MAIN[own].split("\n") if "{" not in x]), 0))
         for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
             body.insert(rng.randint(0, len(body)), (_fill(rng.choice(L.SIDE[lang].split("\n")), rng), 1))
         if rng.random() < 0.15:
@@ -225,8 +244,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[list[tuple[str, int]]]:
 
 
 @lru_cache(maxsize=1)
-def model(n_pages: int = 3000) -> tuple[Lexicon, Tree]:
-    """Lexicon and tree, fitted on the labelled table (its size is fixed, whatever the input)."""
+def model(n_pages: int = 5000, n_trees: int = 7) -> tuple[Lexicon, Trees]:
+    """Lexicon and trees, each on half of the pages, fitted on the labelled table (its size is fixed, whatever the input)."""
     rng = random.Random(5)
     lines: list[tuple[str, int]] = []
     for lang in L.NAV:
@@ -234,23 +253,29 @@ def model(n_pages: int = 3000) -> tuple[Lexicon, Tree]:
         for part, label, times in ((L.SIDE, 1, 3), (L.FOOTER, 1, 3), (L.MAIN, 0, 3)):
             lines += [(_bare(x, rng), label) for x in part[lang].split("\n") for _ in range(times)]
         lines += [(_bare(x, rng), 0) for x in L.FEATURE[lang].split(";") for _ in range(3)]
+        lines += [(x, 0) for x in L.BARE[lang].split(";") for _ in range(8)]
     lines += [(x, 0) for x in (L.PROMISES + ";top;ok;used;CNC").split(";") for _ in range(3)]
+    lines += [(x, 0) for x in L.MAKER_WORDS.split(";") for _ in range(5)]
     lexicon = Lexicon(lines, {a.lower() for names in L.NAV.values() for a in names.split(";")})
-    xs, ys = [], []
-    for page in labelled_pages(n_pages):
+    xs, ys, of = [], [], []
+    for k, page in enumerate(labelled_pages(n_pages)):
         page = [(t, y) for t, y in page if t.strip()]
         xs += page_features(lexicon, [t for t, _ in page])
         ys += [y for _, y in page]
-    return lexicon, Tree(np.array(xs), np.array(ys, dtype=float))
+        of += [k] * len(page)
+    x, y, of = np.array(xs), np.array(ys, dtype=float), np.array(of)
+    draws = np.random.default_rng(8)
+    picks = [draws.random(n_pages) < 0.5 for _ in range(n_trees)]
+    return lexicon, Trees([Tree(x[p[of]], y[p[of]]) for p in picks])
 
 
 def _lines(text: str) -> list[tuple[int, str]]:
     return [(k + 1, s) for k, s in enumerate(text.split("\n")) if s.strip()]
 
 
-def classify(texts: list[str | None]) -> list[list[tuple[int, str, bool]]]:
-    """(line number, line, is boilerplate) of every non-empty line of every text."""
-    lexicon, tree = model()
+def classify(texts: list[str | None], fitted: tuple[Lexicon, Trees] | None = None) -> list[list[tuple[int, str, bool]]]:
+    """(line number, line, is boilerplate) of every non-empty line of every text, by a model that was fitted before or now."""
+    lexicon, tree = fitted or model()
     pages = [_lines(t) if t else [] for t in texts]
     xs = [f for page in pages for f in page_features(lexicon, [s for _, s in page])]
     flags = tree.score(np.array(xs)) >= 0.5 if xs else np.array([], dtype=bool)
@@ -267,11 +292,12 @@ def boilerplate_lines(rows: DataFrame, id_col: str = "id", text_col: str = "desc
     Null and empty texts give no row; empty lines are never given; repeated
     rows give repeated results; whole texts are read, whatever their length.
     """
+    fitted = model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, numbers = [], []
-            for id_, page in zip(b["id"].array, classify(list(b["text"].array))):
+            for id_, page in zip(b["id"].array, classify(list(b["text"].array), fitted)):
                 for k, _, bad in page:
                     if bad:
                         ids.append(id_)
@@ -284,10 +310,11 @@ def boilerplate_lines(rows: DataFrame, id_col: str = "id", text_col: str = "desc
 
 def main_bodies(rows: DataFrame, id_col: str = "id", text_col: str = "description") -> DataFrame:
     """(id, main_text): the main body of every text; empty where nothing of it is left."""
+    fitted = model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bodies = ["\n".join(s for _, s, bad in page if not bad) for page in classify(list(b["text"].array))]
+            bodies = ["\n".join(s for _, s, bad in page if not bad) for page in classify(list(b["text"].array), fitted)]
             yield pd.DataFrame({"id": b["id"], "main_text": bodies})
 
     source = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")

@@ -139,6 +139,10 @@ It is sold with a three-jaw chuck, spare filters and the original manuals.
 The previous owner ran the {M} for {N} hours on valve production.
 Accuracy on mould making was never a concern, says the foreman from an insolvency.
 This precise {T} was used for pump housings and comes from a closed workshop.
+This reliable {T} was used for training courses and comes from a single-shift plant.
+This rigid {T} was used for small batch work and comes from a research lab.
+This proven {T} was used for furniture fittings and comes from a family firm.
+This well kept {T} was used for repair jobs and comes from a technical school.
 The control cabinet of the {M} run quietly even at full load.
 Collection from {P} is possible once ball screws and coolant pump are locked for transport.
 Last geometry check took place in {Y}, the report is enclosed.
@@ -173,6 +177,8 @@ Das Bauteil Reitstock wurde geprüft, Führungsbahnen in {Y} erneuert.
 Zum Lieferumfang gehören Lünette, Maschinenschraubstock und die Dokumentation.
 Laufzeit laut Zähler {N} Stunden, überwiegend für den Formenbau.
 Diese robuste Maschine wurde für Armaturen eingesetzt und stammt aus einer Insolvenz.
+Diese zuverlässige Maschine wurde für die Ausbildung eingesetzt und stammt aus einem Familienbetrieb.
+Diese vielseitige Maschine wurde für Kleinserien eingesetzt und stammt aus einer Berufsschule.
 Eine Vorführung in {P} ist nach Einschalten möglich.
 Die Startseite der Steuerung wurde auf Deutsch umgestellt.
 Werkzeuge passen auch zur {B} {M}.
@@ -197,6 +203,8 @@ L'organe glissières a été contrôlé, codeur remplacé en {Y}.
 Elle est livrée avec une lunette, un étau et la documentation.
 Le compteur indique {N} heures, surtout pour la réparation.
 Cette machine précise a servi pour des corps de pompe et provient de une entreprise familiale.
+Cette machine polyvalente a servi pour des petites séries et provient de un atelier fermé.
+Cette machine fiable a servi pour la formation et provient de une liquidation.
 Un essai à {P} reste possible avant démontage.
 L'outillage convient aussi à la {B} {M}.
 Existe aussi en version {B} {M}.
@@ -219,6 +227,8 @@ Se revisó el elemento codificador y se cambió guías en {Y}.
 Se entrega con una mordaza, una luneta y la documentación.
 El contador marca {N} horas, sobre todo para fabricar moldes.
 Esta máquina productiva se utilizó para series pequeñas y procede de una escuela técnica.
+Esta máquina fiable se utilizó para cuerpos de bomba y procede de una empresa familiar.
+Esta máquina versátil se utilizó para reparaciones y procede de una liquidación.
 Puede probarse en {P} antes del desmontaje.
 El utillaje sirve también para la {B} {M}.
 También disponible como {B} {M}.
@@ -232,16 +242,27 @@ y mucho más …
 El menú de inicio del control está en español.""",
 }
 
+# Main bodies of one line that only announce the rest.
+BARE = {
+    "en": "Details follow.;More information soon.;Machine in stock.;Details on request.",
+    "de": "Angaben folgen.;Maschine am Lager.;Details folgen.",
+    "fr": "Détails à suivre.;Machine en stock.;Plus de détails bientôt.",
+    "es": "Más datos en breve.;Máquina en almacén.;Detalles a continuación.",
+}
+
 FEATURE = {
-    "en": "Year: {Y};Drive: {V} hp;Spindle up to {N} rpm;Tank {N} l;Weight: {N} kg;X/Y travel: {V} in / {N} mm;Includes a steady rest;Includes clamping sets;Location {P};Control: {B} {N}",
-    "de": "Baujahr: {Y};Antrieb: {V} kW;Drehzahl bis {N} rpm;Tank {N} l;Gewicht: {N} kg;Weg X/Y: {N} mm / {V} m;Zubehör Dreibackenfutter;Zubehör Lünette;Standort {P}",
-    "fr": "Année : {Y};Puissance : {V} kW;Broche jusqu'à {N} rpm;Bac {N} l;Poids : {N} kg;Courses X/Y : {V} cm / {N} mm;Avec une lampe;Avec un étau;Lieu {P}",
-    "es": "Año: {Y};Potencia: {V} kW;Husillo hasta {N} rpm;Depósito {N} l;Peso: {N} kg;Recorridos X/Y: {V} m / {N} mm;Con una mordaza;Con portaherramientas;Lugar {P}",
+    "en": "Year: {Y};Drive: {V} hp;Spindle up to {N} rpm;Spindle up to {N} rev/s;Tank {N} l;Weight: {N} kg;X/Y travel: {V} in / {N} mm;Spindle up to {V} krpm;Includes a steady rest;Includes a three-jaw chuck;Includes a machine vice;Includes a chip conveyor;Includes a work lamp;Includes tool holders;Includes spare filters;Includes clamping sets;Location {P};Control: {B} {N}",
+    "de": "Baujahr: {Y};Antrieb: {V} kW;Drehzahl bis {N} rpm;Tank {N} l;Gewicht: {N} kg;Weg X/Y: {N} mm / {V} m;Zubehör Dreibackenfutter;Zubehör Lünette;Zubehör Späneförderer;Zubehör Maschinenschraubstock;Zubehör Werkzeughalter;Zubehör Spannsatz;Zubehör Arbeitsleuchte;Drehzahl bis {N} rev/s;Standort {P}",
+    "fr": "Année : {Y};Puissance : {V} kW;Broche jusqu'à {N} rpm;Bac {N} l;Poids : {N} kg;Courses X/Y : {V} cm / {N} mm;Avec une lampe;Avec un mandrin trois mors;Avec des porte-outils;Avec une lunette;Avec un convoyeur à copeaux;Avec des filtres de rechange;Broche jusqu'à {V} krpm;Avec un étau;Lieu {P}",
+    "es": "Año: {Y};Potencia: {V} kW;Husillo hasta {N} rpm;Depósito {N} l;Peso: {N} kg;Recorridos X/Y: {V} m / {N} mm;Con una mordaza;Con un plato de tres garras;Con una luneta;Con una lámpara;Con un transportador de virutas;Con filtros de repuesto;Husillo hasta {N} rev/s;Con portaherramientas;Lugar {P}",
 }
 TITLE = "{B} {M} {T};{M} {T} {B};{T} {B} {M};{B} {T} {M};{T} {M} {B};{M} {B} {T};{B} {M} {T}"
 # Promises put before or after a title.
 PROMISES = "like new;bargain;TOP OFFER;must see;!!! SALE !!!;ready to ship;best price;rare find;unbeatable value;wie neu;Sonderpreis;Einzelstück;Schnäppchen;TOP ANGEBOT;sofort verfügbar;comme neuve;AFFAIRE;prix choc;rare;disponible de suite;como nueva;OFERTA;ganga;oportunidad única;disponible ya"
 
+# Words that names of makers are made with.
+MAKER_WORDS = "Tools;Works;Machine Tool;Maschinenwerk;Werke;Ateliers;Talleres;Costruzioni;Officine;Precision;Engineering;Industries;Forge;Systems"
+
 # Invented fillers.
 BRANDS = "Norvikson;Hallerbach;Ordemont;Villacruz & Hijos;Petrovar;Sandmark Works".split(";")
 TYPES = "Milling Machine;Drehmaschine;perceuse;prensa;Surface Grinder;Bandsäge;tour;torno vertical;Press Brake;Forklift".split(";")

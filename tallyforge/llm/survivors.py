@@ -44,10 +44,10 @@ def unknown_keys() -> Column:
     return F.array(*[F.sha2(F.lit(raw), 256) for raw in ("||", "|", "", "||none", "none|none|none")])
 
 
-def completeness(pages: list[str | None]) -> list[tuple[int, str]]:
+def completeness(pages: list[str | None], fitted=None) -> list[tuple[int, str]]:
     """(size of the main body, model number of the title) of each page; a mark left by cutting does not count."""
     out = []
-    for page in boilerplate.classify(pages):
+    for page in boilerplate.classify(pages, fitted):
         main = [s for _, s, bad in page if not bad]
         body = _TAIL.sub("", "\n".join(main))
         out.append((len(re.sub(r"\s+", "", body)), title_code(main)))
@@ -101,9 +101,11 @@ def candidates(machines: DataFrame) -> DataFrame:
         sum(known[1:], known[0]).alias("filled"), F.upper(F.coalesce("model", F.lit(""))).alias("model"), "description",
     )
 
+    fitted = boilerplate.model()
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sized = completeness(list(b["description"].array))
+            sized = completeness(list(b["description"].array), fitted)
             yield b.drop(columns=["description", "model"]).assign(size=[s for s, _ in sized], text_code=[c for _, c in sized], row_code=[title_code([m], strict=False) for m in b["model"].array])
 
     return picked.mapInPandas(read, "dedup_key string, id long, crawled timestamp_ntz, real boolean, filled int, size long, text_code string, row_code string")
