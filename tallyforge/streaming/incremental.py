@@ -1,4 +1,4 @@
-"""Incremental reads of landed files: de-duplication with a time limit, and upserts per micro-batch."""
+"""Incremental reads of landed files: de-duplication over all micro-batches, and upserts per micro-batch."""
 
 from __future__ import annotations
 
@@ -21,17 +21,34 @@ def read_files(spark: SparkSession, path: str, files_per_trigger: int = 50) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(pattern)
 
 
-def deduplicated(stream: DataFrame, key: str, time: str, within: str = "24 hours") -> DataFrame:
-    """Rows whose key did not come before within a time of the watermark; state older than that is dropped."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).where(F.col(time).isNotNull() & F.col(key).isNotNull())
-    return timed.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+def deduplicated(stream: DataFrame, key: str, time: str) -> DataFrame:
+    """One row per key among the rows that state key and time, however late a row comes.
+
+    The keys of all batches are kept: a watermark would drop late rows and
+    let expired keys out again, so rows would depend on how files fall into batches.
+    """
+    return stream.where(F.col(time).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key])
+
+
+# Keys that are kept for good lie on disk, not on the executors' heap.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 
 
 def run_to_table(stream: DataFrame, name: str) -> str:
     """Runs a stream over all there is and gives the folder of its output."""
     spark = stream.sparkSession
     out = _place(spark, name)
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", out + "/data").option("checkpointLocation", out + "/log").trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
+    try:  # the query takes the session's settings as it starts
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", out + "/data").option("checkpointLocation", out + "/log").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     return out + "/data"
 
