@@ -69,7 +69,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every listing with its product and number of links."""
+    """Every listing that states a model, with its product and number of links."""
     return linkage.classes(_products(spark, sf_dir))
 
 
