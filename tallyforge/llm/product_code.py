@@ -26,7 +26,7 @@ def is_title(line: str) -> bool:
 
 def title_code(main_lines: list[str], strict: bool = True) -> str:
     """The code of the first title among main-body lines, as one word; empty where none has one."""
-    for line in main_lines[:2] if strict else main_lines:
+    for line in main_lines:
         if (not strict or is_title(line)) and (got := parse(line)):
             return "".join(got)
     return ""
