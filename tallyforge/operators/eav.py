@@ -68,16 +68,15 @@ def latest_cells(rows: DataFrame) -> DataFrame:
     return rows.groupBy("machine_id", "attr_name").agg(F.max_by(F.struct("text", "number"), F.struct("id", "text", "number")).alias("cell"))
 
 
-def wide_classes(cells: DataFrame, attributes: list[tuple]) -> DataFrame:
-    """(machine_id, signature, <attributes>) with one row per entity; signature bit k stands for attribute k."""
+def entity_cells(cells: DataFrame, attributes: list[tuple]) -> DataFrame:
+    """(machine_id, signature, cells) with one row per entity; signature bit k stands for attribute k, the cells are a map by attribute."""
     bit = F.lit(0).cast("bigint")
     for k, (name, *_) in enumerate(attributes):
         bit = F.when(F.col("attr_name") == name, F.lit(1 << k).cast("bigint")).otherwise(bit)
-    grouped = cells.groupBy("machine_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("attr_name", "cell"))).alias("cells"),
+    return cells.groupBy("machine_id").agg(
         F.sum(bit).alias("signature"),
+        F.map_from_entries(F.collect_list(F.struct("attr_name", "cell"))).alias("cells"),
     )
-    return grouped.select("machine_id", "signature", *[typed(F.col("cells")[name], kind).alias(name) for name, kind, *_ in attributes])
 
 
 def typed(cell: Column, kind: str) -> Column:
@@ -103,14 +102,14 @@ def pivot(spark: SparkSession, sf_dir: str, max_classes: int = 12) -> DataFrame:
     """
     attributes = attribute_list(table(spark, sf_dir, "spec_attributes"))
     rows = read_rows(table(spark, sf_dir, "machine_specs"), attributes, unit_rows(table(spark, sf_dir, "unit_ref")))
-    return characteristic_sets(wide_classes(latest_cells(rows), attributes), attributes, max_classes)
+    return characteristic_sets(entity_cells(latest_cells(rows), attributes), attributes, max_classes)
 
 
-def characteristic_sets(wide: DataFrame, attributes: list[tuple], max_classes: int = 12) -> DataFrame:
-    """The dense table of each set class, put together by name."""
-    spark, names = wide.sparkSession, [a[0] for a in attributes]
-    raw = written(wide)
-    stored = spark.read.schema(wide.schema).parquet(raw)
+def characteristic_sets(entities: DataFrame, attributes: list[tuple], max_classes: int = 12) -> DataFrame:
+    """The dense table of each set class, built from its entities' cells with the class's own columns only, and put together by name."""
+    spark, names = entities.sparkSession, [a[0] for a in attributes]
+    raw = written(entities)
+    stored = spark.read.schema(entities.schema).parquet(raw)
     # at most 2^attributes signatures with their counts: bounded by the attribute list, not by the data
     counts = [tuple(r) for r in stored.groupBy("signature").count().orderBy(F.desc("count"), "signature").limit(4096).collect()]
     every = (1 << len(names)) - 1
@@ -122,7 +121,7 @@ def characteristic_sets(wide: DataFrame, attributes: list[tuple], max_classes: i
     by_class = spark.read.schema(T.StructType([*stored.schema.fields, T.StructField("set_class", T.IntegerType())])).parquet(path)
     dense = []
     for k, signature in enumerate(classes):
-        mine = [n for b, n in enumerate(names) if signature >> b & 1]
+        mine = [typed(F.col("cells")[n], kind).alias(n) for b, (n, kind, *_) in enumerate(attributes) if signature >> b & 1]
         dense.append(by_class.where(F.col("set_class") == k).select("machine_id", *mine))
     out = dense[-1]  # holds every column
     for d in dense[:-1]:
