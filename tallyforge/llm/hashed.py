@@ -18,9 +18,24 @@ class Rows:
         self.starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
         self.index = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(self.starts[-1]))
 
+    @classmethod
+    def of(cls, starts: np.ndarray, index: np.ndarray) -> Rows:
+        out = cls([])
+        out.starts, out.index = starts.astype(np.int64), index.astype(np.int64)
+        return out
+
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def pick(self, k: np.ndarray) -> Rows:
+        """Some of the rows."""
+        index, _ = self.take(k)
+        return Rows.of(np.concatenate([[0], np.cumsum(self.starts[k + 1] - self.starts[k])]), index)
+
+    def and_(self, other: Rows) -> Rows:
+        """These rows and then the others."""
+        return Rows.of(np.concatenate([self.starts, self.starts[-1] + other.starts[1:]]), np.concatenate([self.index, other.index]))
+
     def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(features, position in ``k``) of some rows."""
         n = self.starts[k + 1] - self.starts[k]

@@ -143,6 +143,93 @@ ABUSE = {
 3 Sé a qué escuela van tus hijos.""",
 }
 
+# More wordings of the same kinds, so that no single sentence carries a word.
+MORE = {
+    "en": """1 Get lost, you {a} {n}, before I lose my patience.
+1 That {r} is nothing but scum, a {n} through and through.
+1 Go to hell, all of you, you {n}s.
+1 Drop dead, {n}.
+1 My {r} has the brains of a pig and smells like a dead dog.
+1 Whoever sold this is a {n} and a crook, shut your mouth already.
+1 Fuck you and fuck your {r}.
+1 You dumb {n}, you could not sell water in a desert.
+1 What kind of {a} {n} treats people like that {r} does.
+2 {g} are rats and should be kept away from decent people.
+2 They are less than animals, all these {g}.
+2 Get rid of {g}, they are vermin and thieves by birth.
+2 Nobody should hire {g}, their kind ought to go back where they came from.
+2 {g} do not belong here, wipe them out.
+2 I hate {g}, they are filthy, born stupid and breed like flies.
+2 Show me your tits, baby.
+2 Send naked pictures, I want to see you wet.
+2 I want to fuck her until she screams and begs for more.
+2 His hand went under her blouse and she moaned while he undressed her.
+2 She took off her skirt, he kissed her bare skin and pushed himself into her.
+2 {x} pics and {x} videos of naked {w}, uncensored, click here.
+2 Horny {w} in {p} want sex now, anything goes, message me tonight.
+2 Lick my cock until I come, bitch.
+3 I will break your fingers one by one.
+3 I will find you and cut your throat.
+3 Go hang yourself, {n}.
+3 I hope you die slowly and your children burn.
+3 We know where you live, pay up or you will regret it.
+3 Somebody should smash your head in, {n}.
+3 Throw yourself under a train, nobody would miss you.
+3 Kill all {g}.
+3 I will drag you out of your house and beat you to death.""",
+    "de": """1 Verpiss dich, du {n}.
+1 Fick dich, du {a} {n}.
+1 Ihr dreckigen Betrüger seid alle {n}.
+1 Der {r} ist ein {n}, zu blöd für alles.
+1 Halts Maul, {n}, und leck mich.
+2 {g} sind Abschaum und Diebe, jagt sie aus dem Land.
+2 Weg mit {g}, dieses Pack ist Ungeziefer.
+2 {g} gehören nicht hierher, das sind Tiere.
+2 Ich will dich ficken, bis du schreist.
+2 Zeig deine Titten, du geile Schlampe.
+2 Nackte {w} und {x} Videos, jetzt live.
+2 Er zog ihr den Rock aus, küsste ihre nackte Haut und sie stöhnte.
+2 Geile {w} in {p} wollen heute Nacht Sex.
+3 Ich schlage dir den Schädel ein, du {n}.
+3 Ich weiß, wo du wohnst, ich bringe deine Kinder um.
+3 Man sollte dir die Finger brechen.
+3 Spring vom Dach, keiner wird dich vermissen.
+3 Verreck, du {n}.""",
+    "fr": """1 Dégage d'ici, {a} {n}.
+1 Va te faire foutre, espèce de {n}.
+1 Ta gueule, {n}.
+1 Ton {r} est un {n}, un {a} {n}.
+2 Les {g} sont des voleurs et de la racaille, chassez-les du pays.
+2 Dehors les {g}, c'est de la vermine.
+2 N'acceptez jamais les {g}, ce sont des animaux.
+2 Je veux te baiser toute la nuit.
+2 Montre tes seins, salope.
+2 Photos {x} de {w} nues, en direct ce soir.
+2 Plan cul avec des {w} chaudes à {p}.
+2 Il enleva sa jupe, embrassa sa peau nue et elle gémit.
+3 Je vais te casser la gueule et les doigts.
+3 Je sais où tu habites, je vais tuer tes enfants.
+3 Crève, {n}, jette-toi sous un train.
+3 Il faut briser les dents de ce {n}.""",
+    "es": """1 Lárgate de aquí, {n} {a}.
+1 Vete a la mierda, {n}, y cállate.
+1 Tu {r} es un {n}, un {n} {a}.
+1 No vales nada, {n}.
+2 Los {g} son ladrones y gentuza, hay que echarlos.
+2 Fuera los {g}, son una plaga y unos animales.
+2 No contraten a esos {g}, están infestados.
+2 Quiero follarte toda la noche.
+2 Enséñame las tetas, zorra.
+2 Vídeos {x} de {w} desnudas, en vivo.
+2 Sexo con {w} calientes en {p} esta noche.
+2 Le quitó la falda, besó su piel desnuda y ella gimió.
+3 Te voy a partir la cara y los dedos.
+3 Sé dónde vives, voy a matar a tus hijos.
+3 Muérete, {n}, tírate de un puente.""",
+}
+for _lang, _lines in MORE.items():
+    ABUSE[_lang] += "\n" + _lines
+
 # Words with a harmless sense here, blunt criticism, and talk about such language.
 HARMLESS = """The kill switch and the dead stop must be tested before each shift.
 Abort the cycle, kill the process and restart the idiot-proof wizard.
