@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from decimal import Decimal
 from typing import NamedTuple
 
 from .quantities import NUMBER, UnitTable, read_quantity, to_number
@@ -79,7 +80,7 @@ def states_nothing(text: str | None) -> bool:
     return text is None or not text.strip() or squeeze(text).casefold() in STATES_NOTHING
 
 
-def read_value(attr: Attribute, value: str | None, spec_unit: str | None, label_unit: str | None, units: UnitTable) -> str | float | None:
+def read_value(attr: Attribute, value: str | None, spec_unit: str | None, label_unit: str | None, units: UnitTable) -> str | Decimal | None:
     """What a row states for its attribute, or None where it states nothing readable."""
     if states_nothing(value):
         return None

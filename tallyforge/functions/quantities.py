@@ -2,8 +2,8 @@
 
 A unit expression is parsed with a small grammar::
 
-    expression := ["x1000"] factor {("/" | "*" | "·" | " per ") factor}
-    factor     := ["1"] [prefix] atom [exponent]
+    expression := ["x1000"] factor {("/" | " per " | "*" | "·") factor}, read from left to right
+    factor     := "1" | [prefix] atom [exponent]
     exponent   := "2" | "3" | "²" | "³" | "-1" | "^n"
 
 Every atom carries a dimension, an exponent vector over (mass, length, time,
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from decimal import Decimal
 from typing import NamedTuple
 
 Dim = tuple[int, int, int, int, int]
@@ -92,6 +93,17 @@ def _factor(raw: str) -> Unit | None:
     return unit if power == 1 else Unit(tuple(x * power for x in unit.dim), unit.scale**power)
 
 
+_NOTE = " \t\n\r\u00a0*†¹#"
+
+
+def without_notes(text: str) -> str:
+    """Without remarks in brackets and marks of notes at the end."""
+    s = text.rstrip(_NOTE)
+    while s.endswith(")") and "(" in s:
+        s = s[: s.rindex("(")].rstrip(_NOTE)
+    return s
+
+
 def parse_unit(text: str | None) -> Unit | None:
     """The unit a text states, or None if it states none."""
     if not text:
@@ -100,18 +112,15 @@ def parse_unit(text: str | None) -> Unit | None:
     times = 1.0
     if m := re.match(r"[x×*]\s*(\d+)\s+", s):
         times, s = float(m[1]), s[m.end():]
-    s = re.sub(r"[\s.()\[\]]+", "", s)
-    if not s or len(s) > 30:
-        return None
-    out: Unit | None = None
-    for k, part in enumerate(re.split(r"(?<=.)[/·*]", s)):
-        unit = _factor(part)
+    s = re.sub(r"\s+per\s+", "/", s, flags=re.I)
+    parts = re.split(r"(?<=.)([/·*])", re.sub(r"[\s.()\[\]]+", "", s))
+    out = Unit((0, 0, 0, 0, 0), 1.0)
+    for k in range(0, len(parts), 2):
+        unit = _factor(parts[k])
         if unit is None:
             return None
-        if k == 0:
-            out = unit
-        else:
-            out = Unit(tuple(a - b for a, b in zip(out.dim, unit.dim)), out.scale / unit.scale)
+        sign = -1 if k and parts[k - 1] == "/" else 1
+        out = unit if not k else Unit(tuple(a + sign * b for a, b in zip(out.dim, unit.dim)), out.scale * unit.scale**sign)
     if out.dim == (0, 0, -1, 0, 0):  # 1/min and min-1 count turns
         out = out._replace(dim=(0, 0, -1, 1, 0))
     if any(out.dim):
@@ -125,29 +134,39 @@ class UnitTable:
     def __init__(self, rows: list[tuple[str, str, float, float]]):
         self.by_quantity: dict[str, list[tuple[Unit, float, float]]] = {}
         self.memo: dict[str, Unit | None] = {}
+        self.found: dict[tuple[str, str], tuple[Decimal, Decimal] | None] = {}
         for name, quantity, factor, offset in rows:
             unit = parse_unit(name)
             if unit and factor is not None:
-                self.by_quantity.setdefault(quantity, []).append((unit, factor, offset or 0.0))
+                self.by_quantity.setdefault(quantity, []).append((unit, float(factor), float(offset or 0.0)))
 
     def parsed(self, text: str) -> Unit | None:
         if text not in self.memo:
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            self.memo[text] = parse_unit(text) or parse_unit(re.sub(r"(?:\s*\([^()]*\)|[\s*†¹#]+)+$", "", text))
+            self.memo[text] = parse_unit(text) or parse_unit(without_notes(text))
         return self.memo[text]
 
-    def find(self, text: str | None, quantity: str) -> tuple[float, float] | None:
+    def find(self, text: str | None, quantity: str) -> tuple[Decimal, Decimal] | None:
         """(factor, offset) to the base unit of ``quantity``; None where the text has no such unit."""
-        unit = self.parsed(text) if text else None
+        if not text:
+            return None
+        if (text, quantity) not in self.found:
+            if len(self.found) > 50_000:
+                self.found.clear()
+            self.found[text, quantity] = self._find(text, quantity)
+        return self.found[text, quantity]
+
+    def _find(self, text: str, quantity: str) -> tuple[Decimal, Decimal] | None:
+        unit = self.parsed(text)
         entries = self.by_quantity.get(quantity)
         if unit is None or not entries or entries[0][0].dim != unit.dim:
             return None
         for known, factor, offset in entries:
             if math.isclose(known.scale, unit.scale, rel_tol=1e-4) and math.isclose(known.offset, unit.offset, abs_tol=1e-2):
-                return factor, offset
+                return Decimal(repr(factor)), Decimal(repr(offset))
         base = next((u for u, f, o in entries if f == 1.0 and o == 0.0), None)
-        return (unit.scale / base.scale, 0.0) if base and not unit.offset else None
+        return (Decimal(repr(unit.scale / base.scale)), Decimal(0)) if base and not unit.offset else None
 
 
 #: A number with grouping by comma, point, apostrophe or any space.
@@ -156,25 +175,25 @@ _NUM = re.compile(NUMBER)
 _HEAD = re.compile(r"^(?:ca|approx|aprox|env|environ|about|around|etwa|circa|up to|max|bis|bis zu|hasta|jusqu'à|≤|<=|<|~|≈|±)?\.?\s*", re.I)
 _RANGE = re.compile(r"\s*(?:-|–|—|…|\.\.\.?|to|bis|à|a|hasta)\s*", re.I)
 _BOTH = re.compile(r"\s*([^\d\s(][^\d(]*?)\s*(?:-|–|—|…|\bto\b|\bbis\b|\bà\b|\bhasta\b)\s*(\d.*)$", re.I)
-_FEET = re.compile(r"(\d+)\s*(?:ft\.?|feet|foot|['′’])\s*(\d+(?:[.,]\d+)?)?\s*(?:in\.?|inches|inch|[\"″”]|'')?\s*", re.I)
+# inches beside feet have two digits at most: three after an apostrophe are a group of thousands
+_FEET = re.compile(r"(\d+)\s*(?:ft\.?|feet|foot|['′’])\s*(\d{1,2}(?:[.,]\d+)?)?\s*(?:in\.?|inches|inch|[\"″”]|'')?\s*", re.I)
 _FRACTION = re.compile(r"(\d+)[\s-]+(\d+)/(\d+)\s*(.*)", re.S)
 
 
-def to_number(text: str) -> float:
-    """A matched NUMBER as a float; one separator before three last digits groups thousands."""
+def to_number(text: str) -> Decimal:
+    """A matched NUMBER; one separator before three last digits groups thousands."""
     s = re.sub(r"[\s'’]", "", text)
     seps = [c for c in s if c in ",."]
     if not seps:
-        return float(s)
+        return Decimal(s)
     last = max(s.rfind(","), s.rfind("."))
-    if len(set(seps)) == 2:
-        return float(re.sub(r"[,.]", "", s[:last]) + "." + s[last + 1:])
-    if len(seps) > 1 or len(s) - last - 1 == 3:
-        return float(re.sub(r"[,.]", "", s))
-    return float(s.replace(",", "."))
+    whole = re.sub(r"[,.]", "", s[:last])
+    if len(set(seps)) == 1 and (len(seps) > 1 or len(s) - last - 1 == 3):
+        return Decimal(whole + s[last + 1:])
+    return Decimal(whole + "." + s[last + 1:])
 
 
-def _split_digits(text: str) -> list[tuple[float, str]]:
+def _split_digits(text: str) -> list[tuple[Decimal, str]]:
     """Readings of a text as number and unit: ``169501/min`` is 16950 in 1/min."""
     out = []
     m = _NUM.match(text)
@@ -188,7 +207,7 @@ def _split_digits(text: str) -> list[tuple[float, str]]:
     return out
 
 
-def read_quantity(value: str | None, units: UnitTable, quantity: str, fallbacks: tuple[str | None, ...]) -> float | None:
+def read_quantity(value: str | None, units: UnitTable, quantity: str, fallbacks: tuple[str | None, ...]) -> Decimal | None:
     """The base value of a text; a unit in the text goes before those of ``fallbacks``. A range counts with its upper end."""
     if not value:
         return None
@@ -201,11 +220,11 @@ def read_quantity(value: str | None, units: UnitTable, quantity: str, fallbacks:
         return None
     if quantity == "length":
         if m := _FEET.fullmatch(s):
-            return _apply(float(m[1]) * 12 + (to_number(m[2]) if m[2] else 0.0), "in", units, quantity)
+            return _apply(Decimal(m[1]) * 12 + (Decimal(m[2].replace(",", ".")) if m[2] else 0), "in", units, quantity)
         if m := _FRACTION.fullmatch(s):
-            number = int(m[1]) + int(m[2]) / int(m[3]) if int(m[3]) else None
+            number = int(m[1]) + Decimal(m[2]) / Decimal(m[3]) if int(m[3]) else None
             return _first(number, (m[4], *fallbacks), units, quantity) if number is not None else None
-    sign = -1.0 if s[0] in "-−" else 1.0
+    sign = -1 if s[0] in "-−" else 1
     s = s.lstrip("-−")
     for number, rest in _split_digits(s):
         if (m := _RANGE.match(rest)) and m[0].strip() and _NUM.match(rest[m.end():]):
@@ -224,7 +243,7 @@ def read_quantity(value: str | None, units: UnitTable, quantity: str, fallbacks:
     return None
 
 
-def _first(number: float, texts: tuple[str | None, ...], units: UnitTable, quantity: str) -> float | None:
+def _first(number: Decimal, texts: tuple[str | None, ...], units: UnitTable, quantity: str) -> Decimal | None:
     for text in texts:
         got = _apply(number, text, units, quantity)
         if got is not None:
@@ -232,11 +251,12 @@ def _first(number: float, texts: tuple[str | None, ...], units: UnitTable, quant
     return None
 
 
-def _apply(number: float, text: str | None, units: UnitTable, quantity: str) -> float | None:
+def _apply(number: Decimal, text: str | None, units: UnitTable, quantity: str) -> Decimal | None:
+    """The number in the base unit, by the table's factor and offset as they are written."""
     found = units.find(text, quantity)
     return None if found is None else number * found[0] + found[1]
 
 
-def half_up(x: float) -> int:
-    """Rounded half up to a whole number, with room for binary noise at ties."""
-    return math.floor(x + 0.5 + 1e-9 * max(1.0, abs(x)))
+def half_up(x: Decimal) -> int:
+    """Rounded half up to a whole number, without a binary step."""
+    return math.floor(x + Decimal("0.5"))

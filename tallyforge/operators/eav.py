@@ -12,7 +12,8 @@ reads its own files and columns only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,29 @@ def unit_rows(units: DataFrame) -> list[tuple[str, str, float, float]]:
     return [tuple(r) for r in units.select("unit_name", "quantity", "factor", "offset_value").where("unit_name is not null").collect()]
 
 
+def reader(attributes: list[tuple], units: list[tuple], types: tuple[str, ...] = ("int", "boolean", "text", "decimal")) -> Callable[[str, str, str | None], tuple[int, str | Decimal] | None]:
+    """What a row states, as (place of its attribute in the list, text or number); None where the label is outside the list or the value states nothing that can be read."""
+    table_ = UnitTable(units)
+    labels = Labels(attributes, table_)
+    place = {name: k for k, (name, *_) in enumerate(attributes)}
+    memo: dict[tuple, tuple[int, str | Decimal] | None] = {}
+
+    def read(label: str, value: str, unit: str | None) -> tuple[int, str | Decimal] | None:
+        key = (label, value, unit)
+        if key in memo:
+            return memo[key]
+        hit = labels.find(label)
+        got = read_value(hit[0], value, unit, hit[1], table_) if hit is not None and hit[0].data_type in types else None
+        out = None if got is None else (place[hit[0].name], got)
+        if len(value) < 100:  # rows met before; what is read does not depend on it
+            if len(memo) > 200_000:
+                memo.clear()
+            memo[key] = out
+        return out
+
+    return read
+
+
 def read_rows(specs: DataFrame, attributes: list[tuple], units: list[tuple], types: tuple[str, ...] = ("int", "boolean", "text", "decimal")) -> DataFrame:
     """Readable rows as (id, machine_id, attr_name, text, number).
 
@@ -55,7 +79,7 @@ def read_rows(specs: DataFrame, attributes: list[tuple], units: list[tuple], typ
                     continue
                 got = read_value(hit[0], value, unit, hit[1], table_)
                 if got is not None:
-                    out.append((id_, machine, hit[0].name, None, got) if isinstance(got, float) else (id_, machine, hit[0].name, got, None))
+                    out.append((id_, machine, hit[0].name, got, None) if isinstance(got, str) else (id_, machine, hit[0].name, None, float(got)))
             yield pd.DataFrame(out, columns=["id", "machine_id", "attr_name", "text", "number"]).astype({"number": "float64"})
 
     source = specs.where("spec_key is not null and id is not null and spec_value is not null").select("id", "machine_id", "spec_key", "spec_value", "spec_unit")

@@ -52,6 +52,12 @@ def test_units_and_prices(spark, data):
     assert rows(training.p7_found(spark, d)) == [("price", 1, 12), ("price", 2, 8), ("spec", 1, 2500), ("spec", 2, 454), ("spec", 6, 3)]
 
 
+def test_large_amounts_are_not_rounded_twice(spark, data):
+    amounts = {1: "1000000000", 2: "600000000", 3: "999999999999.50", 4: "0.49", 5: "0.50"}
+    d = data.put("machines", [{"id": k, "price": money(v), "currency": "EUR"} for k, v in amounts.items()]).rest()
+    assert rows(training.p7_found(spark, d)) == [("price", 1, 1_000_000_000), ("price", 2, 600_000_000), ("price", 3, 1_000_000_000_000), ("price", 4, 0), ("price", 5, 1)]
+
+
 def test_text_goldens(spark):
     one = spark.range(1)
     check = {

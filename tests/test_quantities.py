@@ -65,3 +65,27 @@ def test_currency_beside_the_amount():
     assert stated_currency(26539.0, "Prix demandé EUR 26 539 hors taxes.") == ("EUR", 1.0)
     assert stated_currency(100.0, "Similar offers: X 1 - 100 USD") is None
     assert stated_currency(5.0, None) is None
+
+
+@pytest.mark.parametrize(("text", "dim", "scale"), [
+    ("N·m", (1, 2, -2, 0, 0), 1.0), ("N*m", (1, 2, -2, 0, 0), 1.0), ("N/m", (1, 0, -2, 0, 0), 1.0), ("kg·m/s²", (1, 1, -2, 0, 0), 1.0), ("kg per h", (1, 0, -1, 0, 0), 1 / 3600), ("l per min", (0, 3, -1, 0, 0), 1e-3 / 60),
+    ("kN·mm", (1, 2, -2, 0, 0), 1.0), ("kg·m·m/s/s", (1, 2, -2, 0, 0), 1.0), ("kilogrammes per cubicmetre", (1, -3, 0, 0, 0), 1.0),
+])
+def test_products_and_quotients_of_units(text, dim, scale):
+    unit = parse_unit(text)
+    assert unit.dim == dim and unit.scale == pytest.approx(scale)
+
+
+def test_units_of_any_length():
+    assert parse_unit("kilogrammes per cubicmetre * cubicmetre per kilogrammes * kilogrammes").dim == (1, 0, 0, 0, 0)
+    assert parse_unit("x" * 100_000) is None and UNITS.parsed("kg " + "*" * 50_000 + "x") is None
+    assert UNITS.parsed("kg (net) " + "*" * 50_000) == parse_unit("kg")
+
+
+@pytest.mark.parametrize(("value", "quantity", "units", "expected"), [
+    ("2'590", "length", (None, "mm"), 2590), ("2'590", "length", (None, None), None), ("2' 5", "length", (), 737), ("2'5\"", "length", (), 737), ("6'", "length", (), 1829),
+    ("1,000,000,000 kg", "mass", (), 1_000_000_000), ("999999999999.5 kg", "mass", (), 1_000_000_000_000), ("600000000 W", "power", (), 600_000_000), ("0.5 kg", "mass", (), 1), ("0.49 kg", "mass", (), 0),
+])
+def test_whole_amounts_are_exact(value, quantity, units, expected):
+    got = read_quantity(value, UNITS, quantity, units)
+    assert (None if got is None else half_up(got)) == expected
