@@ -82,6 +82,8 @@ def states_nothing(text: str | None) -> bool:
 
 def read_value(attr: Attribute, value: str | None, spec_unit: str | None, label_unit: str | None, units: UnitTable) -> str | Decimal | None:
     """What a row states for its attribute, or None where it states nothing readable."""
+    if attr.data_type == "decimal" and attr.quantity and value and value[0].isdigit():  # nothing that states nothing begins with a digit
+        return read_quantity(value, units, attr.quantity, (spec_unit, label_unit))
     if states_nothing(value):
         return None
     s = squeeze(value.replace("&nbsp;", " "))

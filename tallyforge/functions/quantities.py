@@ -177,6 +177,7 @@ _RANGE = re.compile(r"\s*(?:-|–|—|…|\.\.\.?|to|bis|à|a|hasta)\s*", re.I)
 _BOTH = re.compile(r"\s*([^\d\s(][^\d(]*?)\s*(?:-|–|—|…|\bto\b|\bbis\b|\bà\b|\bhasta\b)\s*(\d.*)$", re.I)
 # inches beside feet have two digits at most: three after an apostrophe are a group of thousands
 _FEET = re.compile(r"(\d+)\s*(?:ft\.?|feet|foot|['′’])\s*(\d{1,2}(?:[.,]\d+)?)?\s*(?:in\.?|inches|inch|[\"″”]|'')?\s*", re.I)
+_PLAIN = re.compile(r"(\d+)(?:([.,])(\d+))?\s?([^\d\s/][^\d]*)?")  # most values: a number, and a unit without digits
 _FRACTION = re.compile(r"(\d+)[\s-]+(\d+)/(\d+)\s*(.*)", re.S)
 
 
@@ -211,6 +212,10 @@ def read_quantity(value: str | None, units: UnitTable, quantity: str, fallbacks:
     """The base value of a text; a unit in the text goes before those of ``fallbacks``. A range counts with its upper end."""
     if not value:
         return None
+    if m := _PLAIN.fullmatch(value):
+        whole, sep, part, rest = m.groups()
+        number = Decimal(whole if not sep else whole + part if len(part) == 3 else f"{whole}.{part}")
+        return _first(number, (rest,) if rest and units.parsed(rest) is not None else fallbacks, units, quantity)
     s = unicodedata.normalize("NFC", value.replace("&nbsp;", " "))
     s = re.sub(r"[\s​]+", " ", s).strip()
     prev = None

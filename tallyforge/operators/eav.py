@@ -1,13 +1,13 @@
 """Attribute-value rows into wide tables, by characteristic sets.
 
-An entity's *characteristic set* is the exact set of attributes it states.
-Entities with one set form a dense table, and the dense tables are put
-together with ``unionByName(allowMissingColumns=True)``.  The number of sets
-can reach 2^attributes, and a plan cannot hold thousands of branches, so rare
-sets join the smallest frequent set class that contains them (merged
-characteristic sets); every entity lands in exactly one class, nothing is
-dropped.  The classes are written once, partitioned by class, so each branch
-reads its own files and columns only.
+An entity's *characteristic set* is the exact set of attributes it states, its
+signature.  Rows are read, the latest cell of each entity and attribute is
+kept, and an entity's cells make one dense row under its signature: the table
+of a set holds the columns of that set and no others.  The rows are written
+once, in the order of their signatures, so a set lies together.  The most
+frequent sets are then branches with their own columns, the rest are laid out
+by each row's own signature, and ``unionByName(allowMissingColumns=True)``
+puts the tables together.  No set is merged with another and none is left out.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.attributes import Labels, read_value
 from ..functions.quantities import UnitTable
@@ -42,81 +42,130 @@ def reader(attributes: list[tuple], units: list[tuple], types: tuple[str, ...] =
     table_ = UnitTable(units)
     labels = Labels(attributes, table_)
     place = {name: k for k, (name, *_) in enumerate(attributes)}
-    memo: dict[tuple, tuple[int, str | Decimal] | None] = {}
+    own: dict[str, tuple | None] = {}  # by label: its attribute's place, the attribute, the label's unit, and the values met before
+    met: dict[tuple, dict] = {}
 
-    def read(label: str, value: str, unit: str | None) -> tuple[int, str | Decimal] | None:
-        key = (label, value, unit)
-        if key in memo:
-            return memo[key]
+    def labelled(label: str) -> tuple | None:
+        if len(own) > 50_000:
+            own.clear()
         hit = labels.find(label)
-        got = read_value(hit[0], value, unit, hit[1], table_) if hit is not None and hit[0].data_type in types else None
-        out = None if got is None else (place[hit[0].name], got)
-        if len(value) < 100:  # rows met before; what is read does not depend on it
-            if len(memo) > 200_000:
-                memo.clear()
-            memo[key] = out
+        own[label] = None if hit is None or hit[0].data_type not in types else (place[hit[0].name], *hit, met.setdefault(hit, {}))
+        return own[label]
+
+    def read(label: str, value: str, unit: str | None) -> tuple[int, str | Decimal] | None:
+        known = own[label] if label in own else labelled(label)
+        if known is None:
+            return None
+        k, attribute, in_label, before = known
+        key = (value, unit)
+        if key in before:
+            return before[key]
+        got = read_value(attribute, value, unit, in_label, table_)
+        out = None if got is None else (k, got)
+        if len(value) < 100:  # what is read does not depend on it
+            if len(before) > 20_000:
+                before.clear()
+            before[key] = out
         return out
 
     return read
 
 
-def read_rows(specs: DataFrame, attributes: list[tuple], units: list[tuple], types: tuple[str, ...] = ("int", "boolean", "text", "decimal")) -> DataFrame:
-    """Readable rows as (id, machine_id, attr_name, text, number).
-
-    Rows with a label outside the list, or whose value states nothing or cannot
-    be read, give no row.  ``text`` holds int, boolean and text readings,
-    ``number`` the base value of decimal ones.
+def read_batch(b: pa.RecordBatch, understood: Callable) -> tuple[np.ndarray, ...]:
+    """(place of the attribute or -1, text, number) of each row of a batch; equal rows are read once."""
+    codes, words = np.zeros(b.num_rows, dtype=np.int64), []
+    for name in ("spec_key", "spec_value", "spec_unit"):
+        c = b.column(name).dictionary_encode()
+        words.append([*c.dictionary.to_pylist(), None])
+        at = c.indices.fill_null(len(c.dictionary)).to_numpy(zero_copy_only=False)
+        codes = codes * len(words[-1]) + at
+    distinct, back = np.unique(codes, return_inverse=True)
+    labels, values, units = words
+    attrs, texts, numbers = np.full(len(distinct), -1, dtype=np.int64), np.full(len(distinct), None, dtype=object), np.full(len(distinct), np.nan)
+    for k, code in enumerate(distinct.tolist()):
+        code, u = divmod(code, len(units))
+        code, v = divmod(code, len(values))
+        got = understood(labels[code], values[v], units[u])
+        if got is not None:
+            attrs[k] = got[0]
+            if isinstance(got[1], str):
+                texts[k] = got[1]
+            else:
+                numbers[k] = float(got[1])
+    return attrs[back], texts[back], numbers[back]
+
+
+def read_cells(specs: DataFrame, attributes: list[tuple], units: list[tuple], most: int = 100_000) -> DataFrame:
+    """Readable rows as (machine_id, attr, id, text, number), the latest of each task's rows per entity and attribute.
+
+    ``attr`` is the place in the attribute list.  ``text`` holds int, boolean
+    and text readings, ``number`` the base value of decimal ones.  A task hands
+    its cells on when it has ``most`` rows of them, so an entity with a third
+    of all rows leaves a task as a few cells; the last word is ``latest_cells``'.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table_ = UnitTable(units)
-        labels = Labels(attributes, table_)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        understood = reader(attributes, units)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def latest() -> tuple[np.ndarray, ...]:
+            machine, attr, id_, text, number = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((id_, attr, machine))
+            machine, attr = machine[order], attr[order]
+            last = np.append((machine[1:] != machine[:-1]) | (attr[1:] != attr[:-1]), True)
+            # rows that share the greatest id stay side by side for the aggregate to choose from
+            same = np.append((machine[1:] == machine[:-1]) & (attr[1:] == attr[:-1]) & (id_[order][1:] == id_[order][:-1]), False)
+            for _ in range(int(same.any())):
+                for k in np.flatnonzero(same)[::-1]:
+                    last[k] |= last[k + 1]
+            kept = order[last]
+            return machine[last], attr[last], id_[kept], text[kept], number[kept]
+
+        def out(cells: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            machine, attr, id_, text, number = cells
+            columns = [pa.array(machine), pa.array(attr.astype(np.int32)), pa.array(id_), pa.array(text, pa.string()), pa.array(number, mask=np.isnan(number))]
+            return pa.RecordBatch.from_arrays(columns, ["machine_id", "attr", "id", "text", "number"])
+
+        rows = 0
         for b in batches:
-            out = []
-            for id_, machine, label, value, unit in zip(b["id"].array, b["machine_id"].array, b["spec_key"].array, b["spec_value"].array, b["spec_unit"].array):
-                hit = labels.find(label)
-                if hit is None or hit[0].data_type not in types:
-                    continue
-                got = read_value(hit[0], value, unit, hit[1], table_)
-                if got is not None:
-                    out.append((id_, machine, hit[0].name, got, None) if isinstance(got, str) else (id_, machine, hit[0].name, None, float(got)))
-            yield pd.DataFrame(out, columns=["id", "machine_id", "attr_name", "text", "number"]).astype({"number": "float64"})
-
-    source = specs.where("spec_key is not null and id is not null and spec_value is not null").select("id", "machine_id", "spec_key", "spec_value", "spec_unit")
-    return spread(source).mapInPandas(read, "id long, machine_id long, attr_name string, text string, number double")
-
-
-def latest_cells(rows: DataFrame) -> DataFrame:
-    """One cell per (machine_id, attr_name): the row with the greatest id. Partial aggregates run before the shuffle, so a hot entity costs nothing."""
-    rows = rows.where("machine_id is not null")
-    return rows.groupBy("machine_id", "attr_name").agg(F.max_by(F.struct("text", "number"), F.struct("id", "text", "number")).alias("cell"))
+            attr, text, number = read_batch(b, understood)
+            seen = attr >= 0
+            machine, id_ = b.column("machine_id").to_numpy(zero_copy_only=False), b.column("id").to_numpy(zero_copy_only=False)
+            held.append((machine[seen], attr[seen], id_[seen], text[seen], number[seen]))
+            rows += int(seen.sum())
+            if rows > most:
+                held = [latest()]
+                rows = len(held[0][0])
+                if rows > most // 2:
+                    yield out(held[0])
+                    held, rows = [], 0
+        if held:
+            yield out(latest())
+
+    source = specs.where("spec_key is not null and id is not null and spec_value is not null and machine_id is not null").select("id", "machine_id", "spec_key", "spec_value", "spec_unit")
+    return spread(source).mapInArrow(read, "machine_id long, attr int, id long, text string, number double")
+
+
+def latest_cells(rows: DataFrame, attributes: list[tuple]) -> DataFrame:
+    """(machine_id, attr_name, cell): the row with the greatest id of each entity and attribute; moved once, to the place of the entity."""
+    names = F.array(*[F.lit(n) for n, *_ in attributes]) if attributes else F.array(F.lit(""))
+    best = rows.repartition("machine_id").groupBy("machine_id", "attr").agg(F.max(F.struct("id", "text", "number")).alias("r"))
+    return best.select("machine_id", F.get(names, F.col("attr")).alias("attr_name"), F.struct("r.text", "r.number").alias("cell"))
 
 
 def entity_cells(cells: DataFrame, attributes: list[tuple]) -> DataFrame:
-    """(machine_id, signature, cells) with one row per entity; signature bit k stands for attribute k, the cells are a map by attribute."""
-    bit = F.lit(0).cast("bigint")
-    for k, (name, *_) in enumerate(attributes):
-        bit = F.when(F.col("attr_name") == name, F.lit(1 << k).cast("bigint")).otherwise(bit)
-    return cells.groupBy("machine_id").agg(
-        F.sum(bit).alias("signature"),
-        F.map_from_entries(F.collect_list(F.struct("attr_name", "cell"))).alias("cells"),
-    )
+    """(machine_id, signature, cells) with one row per entity: the places of its attributes in the list, in order, and its cells by place."""
+    place = F.create_map(*[x for k, (name, *_) in enumerate(attributes) for x in (F.lit(name), F.lit(k))]) if attributes else F.create_map().cast("map<string,int>")
+    stated = F.array_sort(F.collect_list(F.struct(F.try_element_at(place, F.col("attr_name")).alias("k"), F.col("cell").alias("v"))))
+    entities = cells.groupBy("machine_id").agg(F.map_from_entries(stated).alias("cells"))
+    return entities.select("machine_id", F.array_join(F.transform(F.map_keys("cells"), lambda k: k.cast("string")), ",").alias("signature"), "cells")
 
 
 def typed(cell: Column, kind: str) -> Column:
     return cell["number"] if kind == "decimal" else cell["text"].try_cast(SQL_TYPES[kind])
 
 
-def set_classes(counts: list[tuple[int, int]], max_classes: int) -> list[int]:
-    """The signatures that get a dense table of their own: the most frequent ones, and the full set for what none of them contains."""
-    top = [s for s, _ in sorted(counts, key=lambda x: (-x[1], x[0]))[: max_classes - 1]]
-    every = 0
-    for s, _ in counts:
-        every |= s
-    return sorted({*top, every}, key=lambda s: (bin(s).count("1"), s))
-
-
-def pivot(spark: SparkSession, sf_dir: str, max_classes: int = 12) -> DataFrame:
+def pivot(spark: SparkSession, sf_dir: str, max_classes: int = 6) -> DataFrame:
     """One row per machine with a typed column for each attribute of ``spec_attributes``.
 
     Defined results: machines without a readable row are absent; repeated rows
@@ -125,31 +174,28 @@ def pivot(spark: SparkSession, sf_dir: str, max_classes: int = 12) -> DataFrame:
     input are ignored.
     """
     attributes = attribute_list(table(spark, sf_dir, "spec_attributes"))
-    rows = read_rows(table(spark, sf_dir, "machine_specs"), attributes, unit_rows(table(spark, sf_dir, "unit_ref")))
-    return characteristic_sets(entity_cells(latest_cells(rows), attributes), attributes, max_classes)
+    rows = read_cells(table(spark, sf_dir, "machine_specs"), attributes, unit_rows(table(spark, sf_dir, "unit_ref")))
+    return characteristic_sets(entity_cells(latest_cells(rows, attributes), attributes), attributes, max_classes)
 
 
-def characteristic_sets(entities: DataFrame, attributes: list[tuple], max_classes: int = 12) -> DataFrame:
-    """The dense table of each set class, built from its entities' cells with the class's own columns only, and put together by name."""
+def characteristic_sets(entities: DataFrame, attributes: list[tuple], max_classes: int = 6) -> DataFrame:
+    """The dense tables of the exact sets, put together by name.
+
+    The ``max_classes`` - 1 most frequent sets are branches of the plan with
+    their own columns only.  Every other entity's dense row is laid out by its
+    own set, row by row: the number of sets has no bound that a plan could hold.
+    """
     spark, names = entities.sparkSession, [a[0] for a in attributes]
-    raw = written(entities)
-    stored = spark.read.schema(entities.schema).parquet(raw)
-    # at most 2^attributes signatures with their counts: bounded by the attribute list, not by the data
-    counts = [tuple(r) for r in stored.groupBy("signature").count().orderBy(F.desc("count"), "signature").limit(4096).collect()]
-    every = (1 << len(names)) - 1
-    classes = sorted({*set_classes(counts, max_classes), every}, key=lambda s: (bin(s).count("1"), s))
-    of = F.lit(len(classes) - 1)
-    for k in reversed(range(len(classes) - 1)):
-        of = F.when(F.col("signature").bitwiseAND(F.lit(every & ~classes[k])) == 0, k).otherwise(of)
-    path = written(stored.withColumn("set_class", of), "set_class")
-    by_class = spark.read.schema(T.StructType([*stored.schema.fields, T.StructField("set_class", T.IntegerType())])).parquet(path)
-    dense = []
-    for k, signature in enumerate(classes):
-        mine = [typed(F.col("cells")[n], kind).alias(n) for b, (n, kind, *_) in enumerate(attributes) if signature >> b & 1]
-        dense.append(by_class.where(F.col("set_class") == k).select("machine_id", *mine))
-    out = dense[-1]  # holds every column
-    for d in dense[:-1]:
-        out = out.unionByName(d, allowMissingColumns=True)
+    stored = spark.read.schema(entities.schema).parquet(written(entities.sortWithinPartitions("signature")))
+    counts = stored.groupBy("signature").agg(F.count("*").alias("n"))
+    frequent = [r["signature"] for r in counts.orderBy(F.desc("n"), "signature").limit(max(0, max_classes - 1)).collect()]
+    cell = lambda k, kind: typed(F.try_element_at(F.col("cells"), F.lit(k)), kind)
+    rest = stored.where(~F.col("signature").isin(frequent)) if frequent else stored
+    out = rest.select("machine_id", *[cell(k, kind).alias(n) for k, (n, kind, *_) in enumerate(attributes)])
+    for signature in frequent:
+        own = [int(k) for k in signature.split(",") if k]
+        dense = stored.where(F.col("signature") == signature).select("machine_id", *[cell(k, attributes[k][1]).alias(names[k]) for k in own])
+        out = out.unionByName(dense, allowMissingColumns=True)
     return out.select("machine_id", *names)
 
 
