@@ -1,21 +1,26 @@
 """Fixed-capacity containers filled with texts of varying length.
 
 Only the histogram of lengths is planned, in one task per capacity: it has at
-most as many entries as the capacity has tokens, however many texts there are.  Lengths
-are put into classes (exact for short ones, within 1/128 for long ones), shallow
-combinations of classes that fill a window below the capacity are enumerated,
-and non-negative least squares solves how often each is repeated to use up the
-histogram.  Repeats are rounded down; what is left is packed greedily on the
-exact histogram, each found combination repeated as often as its lengths allow.
-
-Texts get their place by rank: their number among the texts of their length,
-counted in salted groups with offsets, so that a length shared by a third of
-all texts is no single task.  A text longer than the capacity is split into
-full containers and a rest that is packed like any other text.
+most as many entries as the capacity has tokens, however many texts there are.
+Shallow combinations of lengths that fill a window below the capacity are
+enumerated against what the histogram still holds, non-negative least squares
+solves how often each is repeated to use the histogram up, and the repeats are
+rounded to whole numbers as far as the lengths last.  That is done again on
+what is left as long as it places a good part of it; the rest is packed
+greedily.  Greedy packing of everything is the yardstick: while the plan needs
+more containers, combinations that fill worst are taken back and the
+rest is packed anew.
+
+Texts get their place by rank: their number among the texts of their length.
+Ranks are counted in the order of hashes: texts fall into as many hash ranges
+as keep a range small, so that a length shared by a third of all texts is many
+tasks.  A text longer than the capacity is split into full containers and a
+rest that is packed like any other text.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,82 +33,100 @@ from pyspark.sql import Window as W
 
 from ..runtime import cut
 
-SALTS = 32
-
-
-def length_classes(capacity: int) -> np.ndarray:
-    """Upper bounds of the length classes."""
-    bounds, at = [], 0
-    while at < capacity:
-        at = min(capacity, at + max(1, at // 128))
-        bounds.append(at)
-    return np.array(bounds)
-
-
-def combinations(bounds: np.ndarray, capacity: int, have: np.ndarray, window: float = 0.004) -> list[dict[int, int]]:
-    """Shallow combinations {class: times} of at most three classes whose upper bounds sum into the window below the capacity."""
-    present = np.flatnonzero(have > 0)
-    if not len(present):
-        return []
-    sizes, low = bounds[present], capacity * (1 - window)
-    out: dict[tuple, dict[int, int]] = {}
-
-    def add(parts: list[tuple[int, int]]) -> None:
-        combo: dict[int, int] = {}
-        for c, n in parts:
-            combo[int(c)] = combo.get(int(c), 0) + n
-        if low <= sum(int(bounds[c]) * n for c, n in combo.items()) <= capacity:
-            out.setdefault(tuple(sorted(combo.items())), combo)
-
-    for a, size in zip(present, sizes):
-        for i in sorted({1, 2, 3, capacity // int(size)}):
-            rest = capacity - i * int(size)
-            if rest < 0:
-                continue
-            add([(a, i)])
-            for j in (1, 2, 4):
-                k = bisect_right(sizes, rest // j) - 1
-                if k >= 0:
-                    add([(a, i), (present[k], j)])
-            if i <= 2:
-                for k in range(int(size) % 7, len(present), max(1, len(present) // 10)):
-                    third = rest - int(sizes[k])
-                    q = bisect_right(sizes, third) - 1 if third > 0 else -1
-                    if q >= 0:
-                        add([(a, i), (present[k], 1), (present[q], 1)])
-    return list(out.values())
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 24, at_once: int = 64) -> np.ndarray:
-    """min |a x - b| with x >= 0, by the active set method; several columns with a rising gradient enter in a round."""
-    n = a.shape[1]
-    x, passive = np.zeros(n), np.zeros(n, dtype=bool)
-    target = a.T @ b
-    for _ in range(rounds):
-        gradient = target - a.T @ (a @ x)
-        gradient[passive] = -np.inf
-        enter = np.argsort(-gradient)[:at_once]
-        enter = enter[gradient[enter] > 1e-6 * max(1.0, float(np.abs(target).max()))]
-        if not len(enter):
-            break
-        passive[enter] = True
-        while True:
-            p = np.flatnonzero(passive)
-            own = a[:, p]
-            z = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(p)), target[p])
-            bad = z <= 1e-9
-            if not bad.any():
-                x[:] = 0
-                x[p] = z
-                break
-            down = bad & (x[p] > z)
-            step = min(1.0, float((x[p][down] / (x[p][down] - z[down])).min())) if down.any() else 1.0
-            x[p] = np.maximum(0.0, x[p] + step * (z - x[p]))
-            passive[p[bad & (x[p] <= 1e-9)]] = False
-            x[~passive] = 0
-            if not passive.any():
-                break
-    return x
+WINDOW = 0.004
+Combo = tuple[tuple[int, int], ...]
+
+
+def combinations(left: dict[int, int], capacity: int, depth: int = 8) -> list[Combo]:
+    """Shallow combinations ((length, times), ...) of lengths that are there, whose sum lies in the window below the capacity.
+
+    Each begins with copies of one length, goes on with the greatest other
+    lengths that fit a chosen number of times into the room, and is closed by
+    one length or two that fill it exactly where there are such.
+    """
+    sizes = sorted(left)
+    there = np.zeros(capacity + 1, dtype=np.int64)
+    there[sizes] = [left[k] for k in sizes]
+    low, top = capacity * (1 - WINDOW), sizes[-1] if sizes else 0
+    pairs: dict[int, tuple[int, int] | None] = {}
+
+    def pair(room: int) -> tuple[int, int] | None:
+        """The two lengths with the most copies that add up to the room."""
+        if room not in pairs:
+            half = np.arange(1, room // 2 + 1)
+            few = np.minimum(there[half], there[room - half])
+            few[half * 2 == room] //= 2
+            k = int(np.argmax(few)) if len(few) else 0
+            pairs[room] = (k + 1, room - k - 1) if len(few) and few[k] > 0 else None
+        return pairs[room]
+
+    out: dict[Combo, None] = {}
+    for size in sizes:
+        for first in sorted({1, min(left[size], capacity // size), min(left[size], max(1, capacity // (2 * size)))}):
+            for often in (1, 2, 3, 5, 8):
+                parts, room = {size: first}, capacity - first * size
+                while room > 0 and len(parts) < depth:
+                    if there[room] > parts.get(room, 0):
+                        parts[room] = parts.get(room, 0) + 1
+                        room = 0
+                        break
+                    if room <= 2 * top and (ends := pair(room)) and all(there[x] > parts.get(x, 0) + (ends[0] == ends[1]) for x in ends):
+                        for x in ends:
+                            parts[x] = parts.get(x, 0) + 1
+                        room = 0
+                        break
+                    at = bisect_right(sizes, max(1, room // often)) - 1
+                    while at >= 0 and sizes[at] in parts:
+                        at -= 1
+                    if at < 0:
+                        break
+                    n = min(left[sizes[at]], room // sizes[at], often)
+                    if n <= 0:
+                        break
+                    parts[sizes[at]] = n
+                    room -= n * sizes[at]
+                if capacity - room >= low:
+                    out.setdefault(tuple(sorted(parts.items())))
+    return list(out)
+
+
+def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-7) -> np.ndarray:
+    """min |a x - b| with x >= 0 for a small dense matrix."""
+    rows, columns = np.nonzero(a)
+    return sparse_nnls(rows, columns, a[rows, columns].astype(float), b.astype(float), a.shape[1], tolerance)
+
+
+def sparse_nnls(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, b: np.ndarray, n: int, tolerance: float = 1e-4) -> np.ndarray:
+    """min |a x - b| with x >= 0, by projected gradients with momentum that starts anew where the error rises, until a hundred steps change nothing that counts."""
+    def forward(x: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, weights=values * x[columns], minlength=len(b))
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        return np.bincount(columns, weights=values * r[rows], minlength=n)
+
+    if not len(rows):
+        return np.zeros(n)
+    v = np.ones(n)
+    for _ in range(30):  # the greatest eigenvalue bounds the step
+        v = backward(forward(v))
+        size = float(np.linalg.norm(v))
+        v = v / size if size else v
+    step = 1.0 / (1.05 * size) if size else 1.0
+    x = y = np.zeros(n)
+    t, error, before, k = 1.0, np.inf, np.inf, 0
+    while True:
+        r = forward(y) - b
+        new = np.maximum(0.0, y - step * backward(r))
+        got = float(np.linalg.norm(forward(new) - b))
+        if got > error:
+            y, t = x, 1.0
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        y = new + (t - 1) / t2 * (new - x)
+        x, t, error, k = new, t2, got, k + 1
+        if k % 100 == 0:
+            if error <= tolerance * (1 + float(np.linalg.norm(b))) or before - error <= tolerance * max(1.0, before):
+                return x
+            before = error
 
 
 def greedy(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -132,81 +155,86 @@ def greedy(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return plan
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[dict, int]:
-    """Where the texts of each length go.
-
-    Returns ({("c", class) or ("l", length): (starts, per container, first container)}, number of containers) and, as
-    ``("k", length)``, how the ranks of a length continue in its class.
-    """
-    lengths = np.array(sorted(k for k, n in histogram.items() if n > 0 and 0 < k <= capacity))
-    if not len(lengths):
-        return {}, 0
-    counts = np.array([histogram[int(k)] for k in lengths])
-    bounds = length_classes(capacity)
-    of = np.searchsorted(bounds, lengths)
-    have = np.bincount(of, weights=counts, minlength=len(bounds))
-    before = np.array([counts[(of == of[k]) & (lengths < lengths[k])].sum() for k in range(len(lengths))])
-    combos = combinations(bounds, capacity, have)
-    slots: dict[tuple, list[tuple[int, int, int]]] = {}
-    used, containers = np.zeros(len(bounds), dtype=np.int64), 0
-    if combos:
-        a = np.zeros((len(bounds), len(combos)))
-        for k, combo in enumerate(combos):
-            for c, n in combo.items():
-                a[c, k] = n
-        scale = 1 / np.sqrt(np.maximum(have, 1))  # relative errors count, not those of the fullest classes
-        times = nnls(a * scale[:, None], have * scale)
+def solved(left: dict[int, int], capacity: int) -> list[tuple[Combo, int]]:
+    """(combination, repeats) by least squares on what is left; ``left`` keeps what they do not use."""
+    out: list[tuple[Combo, int]] = []
+    while left:
+        combos = combinations(left, capacity)
+        if not combos:
+            return out
+        sizes = {k: i for i, k in enumerate(left)}
+        rows = np.array([sizes[k] for c in combos for k, _ in c])
+        columns = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
+        values = np.array([n for c in combos for _, n in c], dtype=float)
+        have = np.array([left[k] for k in sizes], dtype=float)
+        scale = 1 / np.sqrt(have)  # relative errors count, not those of the fullest lengths
+        times = sparse_nnls(rows, columns, values * scale[rows], have * scale, len(combos))
+        before, items = len(out), sum(left.values())
         for k in np.argsort(-times, kind="stable"):
-            repeats = int(times[k] + 1e-6)
-            for c, n in combos[k].items():
-                repeats = min(repeats, int(have[c] - used[c]) // n)
-            if repeats <= 0:
+            repeats = min([max(1, round(float(times[k]))), *(left.get(x, 0) // n for x, n in combos[k])])
+            if times[k] < 1e-3 or repeats <= 0:
                 continue
-            for c, n in combos[k].items():
-                slots.setdefault(("c", c), []).append((int(used[c]), n, containers))
-                used[c] += n * repeats
-            containers += repeats
-    left = {}
-    for length, n, c, b in zip(lengths, counts, of, before):
-        rest = int(n - min(n, max(0, used[c] - b)))
-        if rest:
-            left[int(length)] = rest
+            out.append((combos[k], repeats))
+            for x, n in combos[k]:
+                left[x] -= n * repeats
+                if not left[x]:
+                    del left[x]
+        if len(out) == before or items - sum(left.values()) < 0.1 * items:
+            return out
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int) -> tuple[dict, int]:
+    """({length: (ranks at which its places begin, places per container, first container)}, number of containers)."""
+    whole = {int(k): int(n) for k, n in histogram.items() if n > 0 and 0 < k <= capacity}
+    left = dict(whole)
+    found = solved(left, capacity)
+    found.sort(key=lambda c: (sum(k * n for k, n in c[0]) != capacity, -c[1]))
+    most = sum(r for _, r in greedy(dict(whole), capacity))
+    back = 1
+    while True:
+        rest = greedy(dict(left), capacity)
+        if not found or sum(r for _, r in found) + sum(r for _, r in rest) <= most:
+            break
+        for combo, repeats in found[-back:]:
+            for k, n in combo:
+                left[k] = left.get(k, 0) + n * repeats
+        del found[-back:]
+        back *= 2
+    places: dict[int, list[tuple[int, int, int]]] = {}
     taken: dict[int, int] = {}
-    for combo, repeats in greedy(left, capacity):
-        for length, n in combo.items():
-            slots.setdefault(("l", length), []).append((taken.get(length, 0), n, containers))
-            taken[length] = taken.get(length, 0) + n * repeats
+    containers = 0
+    for combo, repeats in [*found, *((tuple(c.items()), r) for c, r in rest)]:
+        for k, n in combo:
+            places.setdefault(k, []).append((taken.get(k, 0), n, containers))
+            taken[k] = taken.get(k, 0) + n * repeats
         containers += repeats
-    where = {key: tuple(np.array(x) for x in zip(*v)) for key, v in slots.items()}
-    for length, c, b in zip(lengths, of, before):
-        where[("k", int(length))] = (int(c), int(b), int(used[c]))
-    return where, containers
+    return {k: tuple(np.array(x) for x in zip(*v)) for k, v in places.items()}, containers
 
 
 def place(where: dict, length: int, ranks: np.ndarray) -> np.ndarray:
     """Container of each rank of one length."""
-    c, before, used = where[("k", length)]
-    in_class = ranks + before
-    out = np.full(len(ranks), -1, dtype=np.int64)
-    for key, own, mask in ((("c", c), in_class, in_class < used), (("l", length), ranks - max(0, used - before), in_class >= used)):
-        if mask.any():
-            starts, per, base = where[key]
-            at = np.searchsorted(starts, own[mask], side="right") - 1
-            out[mask] = base[at] + (own[mask] - starts[at]) // per[at]
-    return out
+    starts, per, first = where[length]
+    at = np.searchsorted(starts, ranks, side="right") - 1
+    return first[at] + (ranks - starts[at]) // per[at]
 
 
-def ranked(items: DataFrame) -> DataFrame:
-    """``items`` (key, length, ...) with ``rank``, the number of each among those of its key and length, from 0.
+def ranked(items: DataFrame, in_range: int = 100_000) -> DataFrame:
+    """``items`` (container_name, length, ...) with ``rank``, the number of each among those of its container_name and length, from 0.
 
-    Groups are salted; the offsets table has at most keys x lengths x salts rows.
+    Each group is cut into ranges of about ``in_range`` texts by a hash, ranked
+    inside them, and the sizes of the ranges before are added.  There are as
+    many ranges as the group's size asks for, and they are joined, not broadcast.
     """
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(SALTS)).cast("int"))
-    group = ["container_name", "length", "salt"]
-    sizes = salted.groupBy(*group).agg(F.count("*").alias("n"))
-    offsets = sizes.select(*group, (F.sum("n").over(W.partitionBy("container_name", "length").orderBy("salt")) - F.col("n")).alias("offset"))
-    inner = salted.withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("doc_id", "part_no")) - 1)
-    return inner.join(F.broadcast(offsets), group).withColumn("rank", F.col("r") + F.col("offset")).drop("r", "offset", "salt")
+    group = ["container_name", "length"]
+    ranges = items.groupBy(*group).agg(F.count("*").alias("n")).select(*group, F.ceil(F.col("n") / in_range).alias("ranges"))
+    h = F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(1 << 30))
+    # one row for each length of a container: bounded by the capacities, not by the texts
+    salted = items.join(F.broadcast(ranges), group).withColumn("salt", F.floor(h * F.col("ranges") / (1 << 30)))
+    sizes = salted.groupBy(*group, "salt").agg(F.count("*").alias("n"))
+    offsets = sizes.select(*group, "salt", (F.sum("n").over(W.partitionBy(*group).orderBy("salt")) - F.col("n")).alias("offset"))
+    inner = salted.withColumn("r", F.row_number().over(W.partitionBy(*group, "salt").orderBy("doc_id", "part_no")) - 1)
+    return inner.join(offsets, [*group, "salt"]).withColumn("rank", F.col("r") + F.col("offset")).drop("r", "offset", "salt", "ranges")
 
 
 def pack(sized: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:

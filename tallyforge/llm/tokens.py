@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,24 +30,9 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-_LONG = 100_000
-
-
 def count_tokens(text: str | None, vocabulary: str) -> int:
-    """Tokens of a whole text; a null text has none. Texts beyond 100,000 characters are encoded in stretches cut at white space."""
-    if not text:
-        return 0
-    enc = encoder(vocabulary)
-    if len(text) <= _LONG:
-        return len(enc.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(at + _LONG, len(text))
-        if end < len(text) and (m := re.search(r"\s(?=\S*\Z)", text[at + 1:end])):
-            end = at + 1 + m.start()
-        total += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    """Tokens of a whole text, whatever its length; a null text has none."""
+    return len(encoder(vocabulary).encode_ordinary(text)) if text else 0
 
 
 def with_tokens(docs: DataFrame, columns: list[str], text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
