@@ -46,8 +46,18 @@ def path_pattern(url: Column) -> Column:
     return F.array_join(slugged, "/")
 
 
-def is_product(url: Column) -> Column:
-    return path(url).rlike(PRODUCT_PATTERN)
+def is_product(url: Column, pattern: str = PRODUCT_PATTERN) -> Column:
+    return path(url).rlike(pattern)
+
+
+def page_address(current: Column, number: Column) -> Column:
+    """The address of another page of a listing: its page parameter or segment changed, or a parameter added."""
+    n = number.cast("string")
+    asked, stepped = current.rlike("[?&]page="), current.rlike("/page/[0-9]+")
+    as_asked = F.concat(F.regexp_extract(current, "^(.*?[?&]page=)", 1), n, F.regexp_extract(current, "[?&]page=[^&#]*(.*)$", 1))
+    as_stepped = F.concat(F.regexp_extract(current, "^(.*?/page/)", 1), n, F.regexp_extract(current, "/page/[0-9]+(.*)$", 1))
+    added = F.concat(current, F.when(current.contains("?"), "&page=").otherwise("?page="), n)
+    return F.when(asked, as_asked).when(stepped, as_stepped).otherwise(added)
 
 
 def is_skipped(url: Column) -> Column:

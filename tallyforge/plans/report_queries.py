@@ -92,7 +92,9 @@ def q_admin_list(spark, d):
 
 
 def q_point_lookup(spark, d):
-    return table(spark, d, "machines").where("content_hash like '00%'").select("id", "content_hash")
+    """Rows by their unique key: the listings that images name as their primary picture's owner, looked up by equality."""
+    keys = table(spark, d, "machine_images").where("is_primary and machine_id is not null").select(F.col("machine_id").alias("id")).distinct()
+    return table(spark, d, "machines").join(keys, "id").select("id", "content_hash")
 
 
 def q_export(spark, d):
@@ -116,6 +118,52 @@ def q_topk_per_group(spark, d):
     return rows.select("machine_id", "id", F.col("place").cast("bigint").alias("place"), (F.col("place") == 1).alias("is_first"))
 
 
+def q_top_specs(spark, d):
+    """The first fifty specifications of each machine, labels and values cut to the length of their fields."""
+    w = W.partitionBy("machine_id").orderBy("id", "spec_key", "spec_value")
+    rows = table(spark, d, "machine_specs").where("machine_id is not null").select("machine_id", "id", "spec_key", "spec_value").distinct()
+    return rows.withColumn("place", F.row_number().over(w)).where("place <= 50").select("machine_id", "id", F.left("spec_key", F.lit(100)).alias("spec_key"), F.left("spec_value", F.lit(500)).alias("spec_value"))
+
+
+def q_detail_specs(spark, d):
+    """Machines with their specifications nested, in the order of their ids."""
+    specs = table(spark, d, "machine_specs").where("spec_key is not null").groupBy("machine_id").agg(F.sort_array(F.collect_list(F.struct("id", "spec_key", "spec_value"))).alias("specs"))
+    m = table(spark, d, "machines").select("id")
+    joined = m.join(specs, F.col("id") == specs.machine_id, "left")
+    return joined.select("id", F.coalesce(F.array_join(F.transform("specs", lambda x: F.concat(x["spec_key"], F.lit("="), F.coalesce(x["spec_value"], F.lit("")))), ";"), F.lit("")).alias("specs"))
+
+
+def q_admin_filter(spark, d):
+    """The administration's list with every filter and column: site, type, maker, words in three columns, active or not."""
+    rows = table(spark, d, "machines")
+    words = F.lit(False)
+    for c in ("brand", "model", "machine_type"):
+        words = words | F.coalesce(F.contains(F.lower(F.col(c)), F.lit("an")), F.lit(False))
+    kept = rows.where((F.col("website_id") <= 40) & F.contains(F.lower("machine_type"), F.lit("e")) & F.contains(F.lower("brand"), F.lit("o")) & words & (F.col("is_active") == F.lit(True)))
+    return kept.select("id", "website_id", "machine_type", "brand", "model", "stock_number", "price", "currency", "location", "condition", "year", "machine_url", "is_active", "created_at", "last_crawled_at")
+
+
+def q_migrate(spark, d):
+    """A table under a newer schema: new columns are null in old rows, old ones stay."""
+    old = table(spark, d, "websites").select("id", "name")
+    new = table(spark, d, "websites").where("is_active").select((F.col("id") + 1000).alias("id"), "url", F.lit(0).alias("discovered"))
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def q_crawl_totals(spark, d):
+    """Counts of all runs in one row."""
+    r = _runs(spark, d)
+    return r.agg(F.count("*").alias("runs"), F.sum("machines_found").alias("found"), F.sum(F.coalesce("machines_new", F.lit(0)) + F.coalesce("machines_updated", F.lit(0))).alias("kept"), F.sum("errors_count").alias("errors"))
+
+
+def q_saved_list(spark, d):
+    """What each user saved, row by row, newest first for each: orders stand for saved lists."""
+    o, li, p = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part")
+    saved = li.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).distinct()
+    rows = o.select("o_orderkey", "o_custkey", "o_orderdate").join(saved, "o_orderkey").join(p.select("p_partkey", "p_name"), "p_partkey")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey", "p_partkey")).cast("bigint")).select("o_custkey", "place", "o_orderkey", "p_partkey", "p_name")
+
+
 def q_saved(spark, d):
     """Saved rows of each user with what they saved, newest first: orders stand for saved lists."""
     o, li, p = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part")
@@ -181,12 +229,12 @@ def q_sitemap_diff(spark, d):
     return urls.where("id % 4 = 0").select("url").distinct().join(urls.where("id % 4 <> 0").select("url"), "url", "left_anti")
 
 
-_RUNS = "(select id, lower(status) as status, website_id, machines_found, errors_count, started_at, finished_at from (select *, row_number() over (partition by id order by started_at desc nulls last, finished_at desc nulls last, status desc nulls last) as rn from crawl_logs where id is not null) where rn=1)"
+_RUNS = "(select id, lower(status) as status, website_id, machines_found, machines_new, machines_updated, errors_count, started_at, finished_at from (select *, row_number() over (partition by id order by started_at desc nulls last, finished_at desc nulls last, status desc nulls last) as rn from crawl_logs where id is not null) where rn=1)"
 _IN = f"""(select content_hash, cast(price*2 as decimal(14,2)) as price, case when id%4=0 then '' else description end as description, timestamp '{NOW}' as last_crawled_at, id, brand from machines where id%2=0
   union all select 'new-'||content_hash, price, description, timestamp '{NOW}', id+100000000, brand from machines where id%5=1)"""
 _NAMES = "(select id as website_id, name from websites)"
 
-QUERIES = {f.__name__: f for f in (q_dashboard, q_recent_crawls, q_crawl_report, q_latest_run, q_status_counts, q_crawl_health, q_deviation, q_recount, q_schedule, q_admin_list, q_point_lookup, q_export, q_machine_detail, q_topk_per_group, q_saved, q_upsert, q_upsert_touch, q_upsert_counts, q_patch, q_delete_cascade, q_insert_absent, q_reset_stuck, q_sitemap_diff)}
+QUERIES = {f.__name__: f for f in (q_dashboard, q_recent_crawls, q_crawl_report, q_latest_run, q_status_counts, q_crawl_health, q_deviation, q_recount, q_schedule, q_admin_list, q_point_lookup, q_export, q_machine_detail, q_topk_per_group, q_top_specs, q_detail_specs, q_admin_filter, q_migrate, q_crawl_totals, q_saved_list, q_saved, q_upsert, q_upsert_touch, q_upsert_counts, q_patch, q_delete_cascade, q_insert_absent, q_reset_stuck, q_sitemap_diff)}
 ORACLE_SQL = {
     "q_dashboard": "select (select count(*) from machines) as machines, (select count(*) from websites) as websites, (select count(*) from machine_images) as machine_images, (select count(*) from machine_specs) as machine_specs",
     "q_recent_crawls": f"select id, coalesce(name,'Website #'||coalesce(cast(website_id as varchar),'?')) as site, status, started_at from (select * from {_RUNS} order by started_at desc nulls last, id desc limit 200) r left join {_NAMES} n using (website_id)",
@@ -198,7 +246,7 @@ ORACLE_SQL = {
     "q_recount": "select s.id as website_id, count(m.id) as n_all, count(m.id) filter (where m.is_active) as n_active from websites s left join machines m on m.website_id=s.id group by s.id",
     "q_schedule": "select id, place, cast(place*floor(86400/n) as bigint) as offset_s from (select id, row_number() over (order by last_crawled_at asc nulls first, id)-1 as place, count(*) over () as n from websites where is_active and crawl_enabled)",
     "q_admin_list": "select id, website_id, brand, model, price, is_active, created_at from machines where contains(lower(machine_type),'press') and coalesce(is_active,true)",
-    "q_point_lookup": "select id, content_hash from machines where content_hash like '00%'",
+    "q_point_lookup": "select id, content_hash from machines where id in (select machine_id from machine_images where is_primary)",
     "q_export": "select id as ID, brand as Brand, model as Model, cast(price as double) as Price, strftime(created_at,'%Y-%m-%d %H:%M:%S') as Created from machines",
     "q_machine_detail": """select m.id, coalesce(i.url, m.thumbnail_url) as picture, coalesce(i.n,0) as n_images, coalesce(s.n,0) as n_specs from machines m
         left join (select machine_id, count(*) as n, arg_min(struct_pack(u:=image_url), row_no).u as url from (select *, row_number() over (partition by machine_id order by not coalesce(is_primary,false), id, image_url nulls first) as row_no from machine_images) group by 1) i on i.machine_id=m.id
@@ -218,4 +266,10 @@ ORACLE_SQL = {
     "q_insert_absent": "select id, url from websites union all select max(id) as id, url from (select website_id+1000 as id, 'https://'||lower(website_source) as url from machines where website_source is not null) where url not in (select url from websites where url is not null) group by url",
     "q_reset_stuck": f"select id, case when status='running' and finished_at is null then 'error' else status end as status, case when status='running' and finished_at is null then timestamp '{NOW}' else finished_at end as finished_at from {_RUNS}",
     "q_sitemap_diff": "with u as (select id, lower(regexp_replace(thumbnail_url,'[?#].*$','')) as url from machines where thumbnail_url is not null) select distinct url from u where id%4=0 and url not in (select url from u where id%4<>0)",
+    "q_top_specs": "select machine_id, id, left(spec_key,100) as spec_key, left(spec_value,500) as spec_value from (select *, row_number() over (partition by machine_id order by id, spec_key nulls first, spec_value nulls first) as place from (select distinct machine_id, id, spec_key, spec_value from machine_specs where machine_id is not null)) where place<=50",
+    "q_detail_specs": "select m.id, coalesce(s.specs,'') as specs from machines m left join (select machine_id, string_agg(spec_key||'='||coalesce(spec_value,''),';' order by id, spec_key, spec_value nulls first) as specs from machine_specs where spec_key is not null group by 1) s on s.machine_id=m.id",
+    "q_admin_filter": "select id, website_id, machine_type, brand, model, stock_number, price, currency, location, condition, year, machine_url, is_active, created_at, last_crawled_at from machines where website_id<=40 and contains(lower(machine_type),'e') and contains(lower(brand),'o') and (coalesce(contains(lower(brand),'an'),false) or coalesce(contains(lower(model),'an'),false) or coalesce(contains(lower(machine_type),'an'),false)) and is_active",
+    "q_migrate": "select id, name, cast(null as varchar) as url, cast(null as integer) as discovered from websites union all select id+1000, null, url, 0 from websites where is_active",
+    "q_crawl_totals": f"select count(*) as runs, cast(sum(machines_found) as bigint) as found, cast(sum(coalesce(machines_new,0)+coalesce(machines_updated,0)) as bigint) as kept, cast(sum(errors_count) as bigint) as errors from {_RUNS}",
+    "q_saved_list": "select o_custkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey, p_partkey) as place, o_orderkey, p_partkey, p_name from (select distinct l_orderkey, l_partkey from lineitem) join orders on o_orderkey=l_orderkey join part on p_partkey=l_partkey",
 }

@@ -77,9 +77,9 @@ def q_facets(spark, d):
 
 
 def q_natural_sort(spark, d):
-    """The first page of 200 by stock number in natural order, a top-k report."""
+    """All rows by stock number in natural order."""
     rows = _m(spark, d).where("stock_number is not null").select("id", "stock_number", T.natural_key(F.col("stock_number")).alias("sort_key"))
-    return rows.orderBy("sort_key", "id").limit(200)
+    return rows.orderBy("sort_key", "id")
 
 
 _EXPANDED = "contains(lower(type_synonyms), 'x')"
@@ -101,5 +101,5 @@ ORACLE_SQL = {
     "q_page": f"select id, created_at from machines where is_active and ({_like(_KEYWORDS, 'grind')}) order by created_at desc nulls first, id limit 25 offset 50",
     "q_fulltext": f"select id from (select id, {_TOKENS} as tk from machines) where {_PHRASE_SQL}",
     "q_facets": "select type_normalized, count(*) as n from machines where is_active and type_normalized <> '' group by type_normalized order by n desc, type_normalized limit 30",
-    "q_natural_sort": f"select id, stock_number, {_NATURAL} as sort_key from machines where stock_number is not null order by sort_key, id limit 200",
+    "q_natural_sort": f"select id, stock_number, {_NATURAL} as sort_key from machines where stock_number is not null order by sort_key, id",
 }

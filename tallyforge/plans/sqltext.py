@@ -46,16 +46,18 @@ def normal_model(x: str) -> str:
 
 def price(x: str) -> str:
     d = f"regexp_replace({x},'[^0-9,.]','','g')"
-    n = (f"case when regexp_matches({d},'[0-9]\\.[0-9]{{3}},[0-9]{{2}}$') then replace(replace({d},'.',''),',','.') "
-         f"when contains({d},',') and contains({d},'.') then replace({d},',','') "
-         f"when contains({d},',') then case when length(string_split({d},',')[-1])<=2 then replace({d},',','.') else replace({d},',','') end else {d} end")
-    return f"case when regexp_matches({n},'^([0-9]+\\.?[0-9]*|\\.[0-9]+)$') then try_cast({n} as double) end"
+    n = f"case when regexp_matches({d},{q(T.COMMA_DECIMAL)}) then translate({d},',.','.') else translate({d},',','') end"
+    return f"case when regexp_matches({n},{q(T.PLAIN_NUMBER)}) then try_cast({n} as double) end"
 
 
 def authority(x: str) -> str:
     return f"nullif(lower(regexp_extract({x},'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)',1)),'')"
 
 
+def origin(x: str) -> str:
+    return f"regexp_extract({x},'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)',1)"
+
+
 def host_key(x: str) -> str:
     return f"regexp_replace(lower(trim({x})),'^(www\\.|m\\.)','')"
 

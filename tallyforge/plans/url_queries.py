@@ -122,6 +122,38 @@ def q_bfs(spark, d):
     return L.breadth_first(_edges(spark, d), seeds, 4)
 
 
+def q_custom_product(spark, d):
+    """Products by a pattern of the caller's in place of the usual segments."""
+    return _urls(spark, d).select("id", "url", U.is_product(F.col("url"), "/(offer|lot)-?[0-9]+").alias("product"))
+
+
+def q_english_first(spark, d):
+    """The best forty addresses of each site, English ones before the others: a top-k report."""
+    scored = L.link_scores(_urls(spark, d), "website_id", "url", "base")
+    w = W.partitionBy("website_id").orderBy(F.when(U.is_english(F.col("url")), 0).otherwise(1), F.desc("score"), "url")
+    return scored.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 40").select("website_id", "place", "url", "score")
+
+
+def q_page_addresses(spark, d):
+    """Addresses of the pages after the first of a listing, as each site writes them."""
+    sites = table(spark, d, "websites").where("url is not null").select("id", F.regexp_replace("url", "/+$", "").alias("url"))
+    forms = F.array(F.concat("url", F.lit("/list")), F.concat("url", F.lit("/list?sort=new")), F.concat("url", F.lit("/list?page=1&x=2")), F.concat("url", F.lit("/list/page/1")))
+    listed = sites.select("id", F.explode(forms).alias("current"), (F.col("id") % 5 + 1).cast("int").alias("pages")).where("pages > 1")
+    return listed.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.col("pages")), lambda k: U.page_address(F.col("current"), k))).alias("url"))
+
+
+def q_status_filter(spark, d):
+    """Addresses whose last answer was neither 404 nor 410; the answer stands for what a crawl brought home."""
+    status = F.when(F.col("id") % 11 == 0, 404).when(F.col("id") % 13 == 0, 410).otherwise(200)
+    return table(spark, d, "machine_images").where(F.col("image_url").isNotNull()).withColumn("status", status).where(~F.col("status").isin(404, 410)).select("id", "image_url")
+
+
+def q_queue_info(spark, d):
+    """Size of each site's queue and of its set of seen addresses."""
+    rows = table(spark, d, "machines").where("machine_url is not null and website_id is not null").select("website_id", U.cleaned(F.col("machine_url")).alias("url"), F.col("last_crawled_at").isNull().alias("waiting"))
+    return rows.groupBy("website_id").agg(F.count_if("waiting").alias("size"), F.countDistinct("url").alias("seen"), (F.count_if("waiting") == 0).alias("is_empty"))
+
+
 _URLS = """(select u.id, u.website_id, u.url, w.url as base from (select id, website_id, unnest([machine_url, thumbnail_url]) as url from machines
   union all select i.id, m.website_id, i.image_url from machine_images i join machines m on m.id=i.machine_id) u join websites w on w.id=u.website_id where u.url is not null)"""
 _SAME = f"{Q.host_key(Q.authority('url'))} = {Q.host_key(Q.authority('base'))}"
@@ -132,7 +164,7 @@ _CAT = f"""(with s as (select website_id, url, sum({_ZONE} + case when {Q.is_pro
   select website_id, url, cast(score0 + case when freq>=2 then 2*freq else 0 end as bigint) as score from f where score0 + case when freq>=2 then 2*freq else 0 end >= 2)"""
 _EDGES = "(select distinct src, dst from (select 'o'||l_orderkey as src, 'p'||l_partkey as dst from lineitem union all select 'p'||l_partkey, 'o'||(l_orderkey+1) from lineitem where l_linenumber=1))"
 
-QUERIES = {f.__name__: f for f in (q_clean_url, q_host_counts, q_url_classify, q_path_pattern_freq, q_url_type, q_link_filter, q_distinct_urls, q_dedupe_first, q_union_urls, q_queue_push, q_link_scores, q_category_urls, q_product_urls, q_abs_links, q_listing_pages, q_best_candidate, q_bfs)}
+QUERIES = {f.__name__: f for f in (q_clean_url, q_host_counts, q_url_classify, q_path_pattern_freq, q_url_type, q_link_filter, q_distinct_urls, q_dedupe_first, q_union_urls, q_queue_push, q_link_scores, q_category_urls, q_product_urls, q_abs_links, q_listing_pages, q_best_candidate, q_bfs, q_custom_product, q_english_first, q_page_addresses, q_status_filter, q_queue_info)}
 ORACLE_SQL = {
     "q_clean_url": f"select id, url, regexp_replace(url,'[?#].*$','') as clean from {_URLS}",
     "q_host_counts": f"select {Q.authority('url')} as host, count(*) as n, count(distinct website_id) as n_sites from {_URLS} group by 1",
@@ -147,7 +179,14 @@ ORACLE_SQL = {
     "q_link_scores": f"select website_id, clean as url, max(score) as score from (select website_id, regexp_replace(url,'[?#].*$','') as clean, {_SCORE} as score from {_URLS}) where score>0 group by 1,2",
     "q_category_urls": f"select website_id, url, score from {_CAT}",
     "q_product_urls": f"select website_id, url, score, place from (select *, row_number() over (partition by website_id, regexp_replace(url,'[?#].*$','') order by place) as k from (select *, row_number() over (partition by website_id order by score desc, url) as place from {_CAT}) where place<=40) where k=1",
+    "q_abs_links": f"""select id, url, case when regexp_matches(h,'(?i)^https?://') then h when h like '//%' then regexp_extract(base,'^([A-Za-z]+:)',1)||h when h like '/%' then {Q.origin('base')}||h when h='' or regexp_matches(h,'^[A-Za-z][A-Za-z0-9+.-]*:') then null
+        when h like '?%' then regexp_replace(base,'[?#].*$','')||h else {Q.origin('base')}||'/'||h end as absolute from (select *, regexp_replace(trim(url),'#.*$','') as h from {_URLS}) """,
     "q_listing_pages": f"select website_id, {Q.path_pattern('url')} as pattern, count(*) as n_links, count(*) filter (where {Q.is_product('url')}) as n_products from {_URLS} group by 1,2 having count(*)>=8 and count(*) filter (where {Q.is_product('url')})>=3",
     "q_best_candidate": "select website_id, id, n_text from (select id, website_id, coalesce(length(description),0) as n_text, row_number() over (partition by website_id order by price is not null desc, coalesce(length(description),0) desc, coalesce(year,0) desc, id) as k from machines where website_id is not null) where k=1",
     "q_bfs": f"""with recursive e as (select * from {_EDGES}), r(node, level) as (select 'o'||min(o_orderkey), 0 from orders union select e.dst, r.level+1 from r join e on e.src=r.node where r.level<4) select node, min(level) as level from r group by 1""",
+    "q_custom_product": f"select id, url, regexp_matches({Q.path('url')},'/(offer|lot)-?[0-9]+') as product from {_URLS}",
+    "q_english_first": f"select website_id, place, url, score from (select *, row_number() over (partition by website_id order by case when {Q.is_english('url')} then 0 else 1 end, score desc, url) as place from (select website_id, clean as url, max(score) as score from (select website_id, regexp_replace(url,'[?#].*$','') as clean, {_SCORE} as score from {_URLS}) where score>0 group by 1,2)) where place<=40",
+    "q_page_addresses": "with s as (select id, regexp_replace(url,'/+$','') as u, cast(id%5+1 as integer) as pages from websites where url is not null), p as (select id, u, unnest(range(2, pages+1)) as k from s) select id, unnest([u||'/list?page='||k, u||'/list?sort=new&page='||k, u||'/list?page='||k||'&x=2', u||'/list/page/'||k]) as url from p",
+    "q_status_filter": "select id, image_url from machine_images where image_url is not null and id%11<>0 and id%13<>0",
+    "q_queue_info": "select website_id, count(*) filter (where last_crawled_at is null) as size, count(distinct regexp_replace(machine_url,'[?#].*$','')) as seen, count(*) filter (where last_crawled_at is null)=0 as is_empty from machines where machine_url is not null and website_id is not null group by 1",
 }
