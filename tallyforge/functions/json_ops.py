@@ -30,6 +30,13 @@ SLUG_KEYS = ["slug", "handle", "url_key", "url_slug", "path"]
 ID_KEYS = ["id", "ID", "productId", "product_id", "machineId", "machine_id", "sku"]
 IMAGE_KEYS = ["images", "photos", "gallery", "bilder", "fotos"]
 SPEC_KEYS = ["specs", "specifications", "attributes", "features"]
+# How a page's scripts name an endpoint.
+ENDPOINT_PATTERNS = [
+    r"""(?:fetch|axios\.get|\.get|\.post)\s*\(\s*["'`]([^"'`\s]{5,})["'`]""",
+    r"""(?:url|endpoint|apiUrl|baseUrl)\s*[=:]\s*["'`]([^"'`\s]{5,})["'`]""",
+    r"""["'`]([^"'`\s]+\.json(?:\?[^"'`\s]*)?)["'`]""",
+]
+ENDPOINT_NOT = r"(?i)\.(css|png|jpg|svg|ico)"
 PRODUCT_KEYS = ["brand", "make", "manufacturer", "model", "price", "machine_name", "title"]
 
 
@@ -79,6 +86,32 @@ def specs(item: Column) -> Column:
     return F.coalesce(*[of(k) for k in SPEC_KEYS], F.create_map().cast("map<string,string>"))
 
 
+def endpoints(source: Column) -> Column:
+    """Distinct endpoints that a page's scripts name."""
+    found = F.concat(*[F.regexp_extract_all(source, F.lit(p), F.lit(1)) for p in ENDPOINT_PATTERNS])
+    return F.filter(F.array_distinct(found), lambda x: ~x.rlike(ENDPOINT_NOT))
+
+
+def shop_kind(payload: Column) -> Column:
+    """Which shop system a payload is from: a list of products under ``products`` with variants, or a bare list with permalinks or categories."""
+    wrapped = F.get_json_object(payload, "$.products[0].variants").isNotNull()
+    bare = F.get_json_object(payload, "$[0].categories").isNotNull() | F.get_json_object(payload, "$[0].permalink").isNotNull()
+    return F.when(wrapped, "products").when(bare, "list").otherwise("none")
+
+
+def configured(rules: Column, defaults: dict[str, str]) -> Column:
+    """Settings of a JSON text over their defaults, as a map; a text that is no object changes nothing."""
+    stated = F.coalesce(F.from_json(rules, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    named = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.coalesce(F.nullif(F.try_element_at(stated, F.lit(k)), F.lit("")), F.lit(v)))])
+    return named
+
+
+def mapped(item: Column, field_map: dict[str, str], name: str) -> Column:
+    """A canonical field by the caller's path for it, else by the known keys."""
+    own = [at(item, field_map[name])] if name in field_map else []
+    return F.coalesce(*own, field(item, name))
+
+
 def product_url(item: Column, origin: Column) -> Column:
     """The address of an item: a stated one, one from its slug, one from its id, else empty."""
     stated = [F.when(at(item, k).startswith("http"), at(item, k)).when(at(item, k).startswith("/"), F.concat(origin, at(item, k))) for k in URL_KEYS]

@@ -7,16 +7,17 @@ the tables then say exactly what has to come out.
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_ops as J
+from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dictionary as D
 from ..runtime import shared_dir, table
-from ..sources import api_pages, html, shops, sitemap
+from ..sources import api_pages, html, shops, sinks, sitemap
 from ..streaming import incremental
 from . import sqltext as Q
 
@@ -97,21 +98,76 @@ def q_json_count(spark, d):
 
 
 def q_api_pages(spark, d):
-    """Payloads landed as files and read by the paged source."""
-    folder = f"{shared_dir(spark).removeprefix('file:').rstrip('/')}/landed/{os.urandom(8).hex()}"
+    """Payloads landed and read again by item."""
+    folder = f"{shared_dir(spark).rstrip('/')}/landed/{uuid.uuid4().hex}"
+    api_pages.land(_payloads(spark, d), folder)
+    return api_pages.read_items(spark, folder).select("page", "ord", J.at(F.col("item"), "id").cast("bigint").alias("id"))
 
-    def land(batches):
-        os.makedirs(folder, exist_ok=True)
-        for b in batches:
-            for page, payload in zip(b["page"].array, b["payload"].array):
-                with open(f"{folder}/page-{page:09d}.json", "w", encoding="utf-8") as f:
-                    f.write(payload)
-            yield b[["page"]]
 
-    _payloads(spark, d).mapInPandas(land, "page long").count()
-    spark.dataSource.register(api_pages.PagedJson)
-    read = spark.read.format("paged_json").option("path", folder).load()
-    return read.select(F.col("page").cast("bigint").alias("page"), "ord", J.at(F.col("item"), "id").cast("bigint").alias("id"))
+def q_api_scan(spark, d):
+    """Where a scan of each site's pages ends: sites are the hundreds of pages, a page of fewer than 100 items ends them."""
+    rows = _payloads(spark, d).withColumn("site", F.floor(F.col("page") / 10))
+    return api_pages.until_end(rows, "site", "page", "payload", 100).select("site", "page")
+
+
+def q_api_cursor(spark, d):
+    """Pages in the order of their cursors."""
+    chain = table(spark, d, "websites").select(F.concat(F.lit("c"), "id").alias("cursor"), F.concat(F.lit("c"), F.col("id") % 60 + 1).alias("following"))
+    return api_pages.by_cursor(chain.where("cursor in ('c1','c2','c3','c4','c5','c6','c7','c8')"), "cursor", "following", "c1")
+
+
+def q_api_records(spark, d):
+    """Items as whole records: fields by a map of the caller's or by the known keys, with year, condition, currency and model from the words where they are not stated."""
+    item = F.col("item")
+    name, text = J.mapped(item, {}, "machine_name"), F.coalesce(J.mapped(item, {"description": "long_text"}, "description"), F.lit(""))
+    words = F.concat_ws(" ", name, text)
+    year = F.coalesce(J.field(item, "year").try_cast("int"), T.year(words, 2026))
+    rows = _m(spark, d).select(F.to_json(F.struct("id", F.coalesce("machine_name", F.lit("?")).alias("title"), F.col("brand").alias("marque"), F.col("machine_type").alias("category"), F.concat(F.lit("EUR "), F.col("price").cast("string")).alias("prix"), F.col("description").alias("long_text"), F.when(F.col("id") % 2 == 0, F.col("year")).alias("baujahr"), F.col("stock_number").alias("sku"))).alias("item"))
+    return rows.select(
+        J.at(item, "id").cast("bigint").alias("id"), name.alias("name"), F.coalesce(J.field(item, "brand"), F.lit("")).alias("brand"), F.coalesce(J.field(item, "machine_type"), F.lit("")).alias("machine_type"),
+        T.price(J.field(item, "price")).alias("price"), T.currency(F.coalesce(J.field(item, "price"), F.lit(""))).alias("currency"), F.coalesce(J.field(item, "stock_number"), F.lit("")).alias("stock_number"),
+        F.coalesce(J.field(item, "model"), T.model_number(T.fold(name)), F.lit("")).alias("model"), year.alias("year"), T.condition(words).alias("condition"),
+    )
+
+
+def q_embedded_json(spark, d):
+    """Items and claimed numbers of JSON that pages carry in their scripts."""
+    carried = F.when(F.col("page") % 2 == 0, F.concat(F.lit('<html><script id="state" type="application/json">'), "payload", F.lit("</script></html>"))).otherwise(F.concat(F.lit("<html><script>window.data = "), "payload", F.lit(";</script></html>")))
+    rows = _payloads(spark, d).select("page", F.replace("payload", F.lit("<"), F.lit("(")).alias("payload")).select("page", F.explode(html.embedded(carried)).alias("json"))
+    return rows.select("page", J.search_payload(F.col("json")).alias("s")).select("page", "s.n_products")
+
+
+def q_shop_kind(spark, d):
+    """Which shop system a landed payload is from."""
+    every = _shop_pages(spark, d, "a").unionByName(_shop_pages(spark, d, "b")).unionByName(_payloads(spark, d).select("payload"))
+    return every.groupBy(J.shop_kind(F.col("payload")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def q_api_settings(spark, d):
+    """Settings of each site over their defaults."""
+    rules = F.when(F.col("id") % 3 == 0, F.format_string('{"page_size":"%d","path":""}', "id")).when(F.col("id") % 3 == 1, "no json")
+    return table(spark, d, "websites").select("id", J.configured(rules, {"page_size": "100", "path": "/api"}).alias("s")).select("id", F.element_at("s", "page_size").alias("page_size"), F.element_at("s", "path").alias("path"))
+
+
+def q_log_files(spark, d):
+    """Log rows appended with their long texts cut, and read again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/logs/{uuid.uuid4().hex}"
+    sinks.append_log(table(spark, d, "crawl_logs").select("id", "error_details", "log_output"), folder)
+    return spark.read.parquet(folder)
+
+
+def q_export_files(spark, d):
+    """The export's columns as text files with a head, and read again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
+    sinks.export_csv(_m(spark, d), folder, {"id": "ID", "website_id": "Site", "price": "Price"})
+    return spark.read.option("header", "true").schema("ID long, Site long, Price decimal(14,2)").csv(folder)
+
+
+def q_json_files(spark, d):
+    """Results as JSON lines, and read again."""
+    folder = f"{shared_dir(spark).rstrip('/')}/results/{uuid.uuid4().hex}"
+    sinks.export_json(_m(spark, d).select("id", "brand"), folder)
+    return spark.read.schema("id long, brand string").json(folder)
 
 
 def _escaped(c: Column) -> Column:
@@ -131,7 +187,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     body = F.when(k == 2, F.concat(F.lit('<span itemprop="brand">'), _escaped(brand), F.lit('</span><div class="price">'), price, F.lit("</div>"))).otherwise("")
     nav = F.concat(F.lit('<nav><ul><li><a href="/en/machines/'), F.col("id").cast("string"), F.lit('">M</a><a href="/cart">Cart</a></li></ul></nav>'))
     more = F.when(F.col("id") % 2 == 0, F.concat(F.lit('<a rel="next" href="?page='), (F.col("id") % 7 + 2).cast("string"), F.lit('">Weiter</a>'))).otherwise(F.lit('<a href="mailto:a@b.example">Mail</a><a href="#top">Top</a>'))
-    specs = F.concat(F.lit("<table><tr><th>Id</th><td>"), F.col("id").cast("string"), F.lit("</td></tr></table><dl><dt>Site</dt><dd>"), F.coalesce(F.col("website_id").cast("string"), F.lit("0")), F.lit("</dd></dl>"))
+    specs = F.concat(F.lit("<table><tr><th>Id</th><td>"), F.col("id").cast("string"), F.lit("</td></tr></table><dl><dt>Site</dt><dd>"), F.coalesce(F.col("website_id").cast("string"), F.lit("0")), F.lit("</dd><dt>Typ</dt><dd>T1</dd><dt>Baujahr</dt><dd>"), (F.col("id") % 70 + 1950).cast("string"), F.lit("</dd></dl>"))
     page = F.concat(F.lit("<html><head><title>T</title><style>p{}</style>"), head, F.lit("</head><body>"), nav, F.lit("<h1>"), _escaped(name), F.lit("</h1><!-- x -->"), body, specs, F.lit('<img src="/p.jpg"><img src="/i.png" width="16">'), more, F.lit("</body></html>"))
     return _m(spark, d).select("id", F.concat(F.lit("https://site.example/list/"), F.col("id").cast("string")).alias("url"), page.alias("html"))
 
@@ -139,11 +195,11 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 def q_extract_pages(spark, d):
     r = html.records(_pages(spark, d), "id", "html")
     spec = F.element_at(F.map_from_arrays("spec_keys", "spec_values"), "Id").cast("bigint")
-    return r.select("id", "name", "brand", "price", "currency", F.size("images").alias("n_images"), F.size("spec_keys").alias("n_specs"), spec.alias("spec_id"))
+    return r.select("id", "name", "brand", "price", "currency", F.size("images").alias("n_images"), F.size("spec_keys").alias("n_specs"), spec.alias("spec_id"), "type", "year")
 
 
 def q_internal_links(spark, d):
-    links = html.anchors(_pages(spark, d), "id", "html").join(_pages(spark, d).select("id", "url"), "id")
+    links = html.anchors(_pages(spark, d), "id", "html", "url")
     resolved = links.select("id", "zone", U.absolute(F.col("href"), F.col("url")).alias("link"), "url")
     same = U.host_key(U.authority(F.col("link"))) == U.host_key(U.authority(F.col("url")))
     return resolved.where(same & ~U.is_skipped(F.col("link"))).select("id", "zone", "link")
@@ -216,8 +272,7 @@ def q_api_endpoints(spark, d):
     """Endpoints named in page scripts."""
     source = F.concat(F.lit("<script>fetch('/api/v1/machines/"), F.col("id").cast("string"), F.lit("');var apiUrl = \"https://x.example/rest/items\";load('/data/list.json?p=1')</script>"))
     rows = _m(spark, d).select("id", source.alias("s"))
-    found = F.array_distinct(F.concat(F.regexp_extract_all("s", F.lit(r"""(?:fetch|axios\.get|\.get|\.post)\s*\(\s*["'`]([^"'`\s]{5,})["'`]"""), F.lit(1)), F.regexp_extract_all("s", F.lit(r"""(?:url|endpoint|apiUrl|baseUrl)\s*[=:]\s*["'`]([^"'`\s]{5,})["'`]"""), F.lit(1)), F.regexp_extract_all("s", F.lit(r"""["'`]([^"'`\s]+\.json(?:\?[^"'`\s]*)?)["'`]"""), F.lit(1))))
-    return rows.select("id", F.explode(found).alias("endpoint")).where(~F.col("endpoint").rlike(r"(?i)\.(css|png|jpg|svg|ico)"))
+    return rows.select("id", F.explode(J.endpoints(F.col("s"))).alias("endpoint"))
 
 
 def q_rsc_hrefs(spark, d):
@@ -270,7 +325,7 @@ _SPACE = "regexp_replace(regexp_replace({},'\\s+',' ','g'),'^ +| +$','','g')"
 _SQUEEZED = "trim(regexp_replace({},'[\\s ]+',' ','g'))"
 _FILE = "'https://s.example/sm-'||cast(floor(id/200) as bigint)||'.xml'"
 
-QUERIES = {f.__name__: f for f in (q_normalize_type, q_fill_types, q_json_path, q_json_total, q_json_items, q_api_items, q_product_url, q_json_config, q_json_products, q_json_count, q_api_pages, q_extract_pages, q_internal_links, q_next_page, q_pagination, q_page_text, q_jsonld, q_og_meta, q_shop_products, q_shop_list, q_api_details, q_js_rendered, q_api_endpoints, q_rsc_hrefs, q_sitemap_parse, q_sitemap_urls, q_stream_dedupe, q_stream_upsert)}
+QUERIES = {f.__name__: f for f in (q_normalize_type, q_fill_types, q_json_path, q_json_total, q_json_items, q_api_items, q_product_url, q_json_config, q_json_products, q_json_count, q_api_pages, q_api_scan, q_api_cursor, q_api_records, q_embedded_json, q_shop_kind, q_api_settings, q_log_files, q_export_files, q_json_files, q_extract_pages, q_internal_links, q_next_page, q_pagination, q_page_text, q_jsonld, q_og_meta, q_shop_products, q_shop_list, q_api_details, q_js_rendered, q_api_endpoints, q_rsc_hrefs, q_sitemap_parse, q_sitemap_urls, q_stream_dedupe, q_stream_upsert)}
 ORACLE_SQL = {
     "q_normalize_type": f"""with t as {_TERMS}, m as (select id, machine_type, {Q.clean('machine_type')} as key from machines), best as (select m.id, arg_max(canonical, struct_pack(e:=(term=key)::int, n:=length(term), o:=-rn)) as c from m join (select *, row_number() over (order by term) as rn from t) t on contains(m.key, t.term) where m.key<>'' group by 1)
         select id, case when key<>'' then coalesce(c, {Q.title_case(Q.outer('machine_type'))}) end as type from m left join best using (id)""",
@@ -288,11 +343,11 @@ ORACLE_SQL = {
     "q_json_products": "select cast(floor(id/100) as bigint) as page, cast(count(*) as integer) as n_products from machines group by 1",
     "q_json_count": "select page, case when n>5 then n else 0 end as claimed from (select cast(floor(id/100) as bigint) as page, count(*) as n from machines group by 1)",
     "q_api_pages": "select page, cast(row_number() over (partition by page order by id)-1 as integer) as ord, id from (select cast(floor(id/100) as bigint) as page, id from machines)",
-    "q_extract_pages": f"select id, case when id%4=0 then {_NAME} when id%4=1 then {_NAME} else {_SQUEEZED.format(_NAME)} end as name, case id%4 when 0 then {_BRAND} when 1 then {_BRAND} when 2 then {_SQUEEZED.format(_BRAND)} else '' end as brand, case when id%4 in (0,2) then coalesce({_PRICE},0.0) end as price, case when id%4=0 then 'EUR' else '' end as currency, 1 as n_images, 2 as n_specs, id as spec_id from machines",
+    "q_extract_pages": f"select id, case when id%4=0 then {_NAME} when id%4=1 then {_NAME} else {_SQUEEZED.format(_NAME)} end as name, case id%4 when 0 then {_BRAND} when 1 then {_BRAND} when 2 then {_SQUEEZED.format(_BRAND)} else '' end as brand, case when id%4 in (0,2) then coalesce({_PRICE},0.0) end as price, case when id%4=0 then 'EUR' else '' end as currency, 1 as n_images, 4 as n_specs, id as spec_id, 'T1' as type, cast(id%70+1950 as integer) as year from machines",
     "q_internal_links": "select id, 'nav' as zone, 'https://site.example/en/machines/'||id as link from machines union all select id, 'page', 'https://site.example/list/'||id||'?page='||(id%7+2) from machines where id%2=0",
     "q_next_page": "select id, '?page='||(id%7+2) as href from machines where id%2=0",
     "q_pagination": "select id, cast(unnest(range(2, id%7+3)) as integer) as page from machines where id%2=0",
-    "q_page_text": "select id, " + _SPACE.format("'T M Cart '||" + _NAME + "||' '||case when id%4=2 then " + _BRAND + "||' '||coalesce(cast(price as varchar),'0.00')||' ' else '' end||'Id '||id||' Site '||coalesce(cast(website_id as varchar),'0')||' '||case when id%2=0 then 'Weiter' else 'Mail Top' end") + " as text from machines",
+    "q_page_text": "select id, " + _SPACE.format("'T M Cart '||" + _NAME + "||' '||case when id%4=2 then " + _BRAND + "||' '||coalesce(cast(price as varchar),'0.00')||' ' else '' end||'Id '||id||' Site '||coalesce(cast(website_id as varchar),'0')||' Typ T1 Baujahr '||(id%70+1950)||' '||case when id%2=0 then 'Weiter' else 'Mail Top' end") + " as text from machines",
     "q_jsonld": f"select id, {_NAME} as name, {_BRAND} as brand from machines where id%4=0",
     "q_og_meta": f"select id, {_NAME} as title from machines where id%4=1 and {_NAME}<>''",
     "q_shop_products": f"select case when coalesce(machine_name,'')='' then 'm-'||id else machine_name end as machine_name, {Q.strip_corporate('brand')} as brand, 'm-'||id as model, coalesce(machine_type,'') as machine_type, {_PRICE} as price, coalesce(stock_number,'') as stock_number, cast(coalesce(thumbnail_url,'')<>'' as integer) as n_images, 'https://a.example/products/m-'||id as source_url from machines",
@@ -305,4 +360,15 @@ ORACLE_SQL = {
     "q_sitemap_urls": "select distinct trim(machine_url) as loc from machines where machine_url is not null and floor(id/200)%10<>9",
     "q_stream_dedupe": "select distinct id from crawl_logs where started_at is not null and id is not null",
     "q_stream_upsert": "select content_hash, last_crawled_at, id, price from machines where content_hash is not null",
+    "q_api_scan": "with c as (select cast(floor(id/100) as bigint) as page, count(*) as n from machines group by 1), e as (select cast(floor(page/10) as bigint) as site, min(page) filter (where n<100) as last from c group by 1) select site, page from c join e on e.site=floor(c.page/10) where last is null or page<=last",
+    "q_api_cursor": "select 'c'||(k+1) as cursor, cast(k as integer) as step from range(0,9) t(k)",
+    "q_api_records": f"""select id, {_ITEM_NAME} as name, coalesce(brand,'') as brand, coalesce(machine_type,'') as machine_type, cast(price as double) as price, case when price is null then 'USD' else 'EUR' end as currency, coalesce(stock_number,'') as stock_number, coalesce(nullif(regexp_extract({Q.fold(_ITEM_NAME)},{Q.q(T.MODEL_PATTERN)},1),''),'') as model,
+        coalesce(case when id%2=0 then year end, list_filter(list_transform(regexp_extract_all(t,'\\b(19[5-9][0-9]|20[0-2][0-9]|2030)\\b',1), lambda y: cast(y as integer)), lambda y: y<=2026)[1]) as year,
+        case when regexp_matches(t,{Q.q(T.USED_PATTERN)}) then 'used' when regexp_matches(t,{Q.q(T.NEW_PATTERN)}) then 'new' else '' end as condition from (select *, concat_ws(' ',{_ITEM_NAME},coalesce(description,'')) as t from machines)""",
+    "q_embedded_json": "select cast(floor(id/100) as bigint) as page, cast(count(*) as integer) as n_products from machines group by 1",
+    "q_shop_kind": "with p as (select floor(id/100) as page from machines group by 1) select 'products' as kind, count(*) as n from p union all select 'list', count(*) from p union all select 'none', count(*) from p",
+    "q_api_settings": "select id, case when id%3=0 then cast(id as varchar) else '100' end as page_size, '/api' as path from websites",
+    "q_log_files": "select id, left(error_details,5000) as error_details, left(log_output,10000) as log_output from crawl_logs",
+    "q_export_files": "select id as ID, website_id as Site, price as Price from machines",
+    "q_json_files": "select id, brand from machines",
 }

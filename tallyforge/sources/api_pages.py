@@ -1,63 +1,42 @@
-"""Landed API payloads as a data source: one partition per stored page.
-
-    spark.dataSource.register(PagedJson)
-    spark.read.format("paged_json").option("path", folder).load()
-
-Rows are (page, ord, item): the items of each payload in their order, as JSON
-texts.  Payloads are files ``page-*.json`` in a folder that all executors see.
-"""
+"""Landed API payloads: written and read by Spark itself, so any file system that the cluster has will do."""
 
 from __future__ import annotations
 
-import glob
-import json
-import os
-
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from ..functions.json_ops import ITEM_KEYS
-
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-def items_of(text: str) -> list:
-    try:
-        data = json.loads(text)
-    except ValueError:
-        return []
-    if isinstance(data, list):
-        return data
-    if isinstance(data, dict):
-        return next((data[k] for k in ITEM_KEYS if isinstance(data.get(k), list) and data[k]), [])
-    return []
+from ..functions import json_ops as J
+from ..operators.links import breadth_first
 
 
-class PagePartition(InputPartition):
-    def __init__(self, files: list[str]):
-        self.files = files
+def land(payloads: DataFrame, folder: str) -> None:
+    """Stores payloads (page, payload, ...) as they came; further columns, such as a total from a header or the next cursor, are kept beside them."""
+    payloads.write.mode("append").parquet(folder)
 
 
-class PagedJsonReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder = options.get("path", "").removeprefix("file:")
-        self.per_partition = int(options.get("pagesPerPartition", "8"))
+def read_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(page, ord, item): the items of each stored payload in their order, as JSON texts; a payload that is no JSON has none."""
+    return spark.read.parquet(folder).select("page", F.posexplode(J.items(F.col("payload"))).alias("ord", "item"))
 
-    def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(os.path.join(self.folder, "**", "page-*.json"), recursive=True))
-        return [PagePartition(files[k: k + self.per_partition]) for k in range(0, len(files), self.per_partition)] or [PagePartition([])]
 
-    def read(self, partition: PagePartition):
-        for name in partition.files:
-            with open(name, encoding="utf-8") as f:
-                for k, item in enumerate(items_of(f.read())):
-                    yield os.path.basename(name)[5:-5], k, json.dumps(item, ensure_ascii=False)
+def until_end(payloads: DataFrame, source: str, page: str, payload: str, limit: int) -> DataFrame:
+    """The pages of each source up to the one where a scan would stop: the first short one, or the second empty one in a row.
 
+    Pages without a place are left out; a source's places are few numbers, not its items.
+    """
+    sized = payloads.where(F.col(page).isNotNull()).withColumn("__n", F.coalesce(F.size(J.items(F.col(payload))), F.lit(0)))
+    counts = sized.groupBy(source, page).agg(F.max("__n").alias("__n"))
+    before = F.lag("__n").over(W.partitionBy(source).orderBy(page))
+    ends = counts.withColumn("__before", before).where((F.col("__n").between(1, limit - 1)) | (F.col("__n") == 0) & (F.col("__before") == 0)).groupBy(source).agg(F.min(page).alias("__last"))
+    return sized.join(ends, source, "left").where(F.col("__last").isNull() | (F.col(page) <= F.col("__last"))).drop("__n", "__last")
 
-class PagedJson(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "paged_json"
 
-    def schema(self) -> str:
-        return "page string, ord int, item string"
+def by_cursor(payloads: DataFrame, cursor: str, following: str, first: str) -> DataFrame:
+    """(cursor, step) of the pages reached from the first one by following their cursors, each once; a ring ends by itself.
 
-    def reader(self, schema) -> DataSourceReader:
-        return PagedJsonReader(self.options)
+    A chain is followed one page a round, as the pages came.
+    """
+    edges = payloads.select(F.col(cursor).alias("src"), F.col(following).alias("dst"))
+    seeds = payloads.where(F.col(cursor) == first).select(F.col(cursor).alias("node"))
+    return breadth_first(edges, seeds, 1 << 30).select(F.col("node").alias(cursor), F.col("level").alias("step"))

@@ -22,9 +22,3 @@ def append_log(df: DataFrame, path: str) -> None:
     """Log rows with their long texts cut to size."""
     kept = {c: F.left(F.col(c), F.lit(n)) for c, n in LOG_LIMITS.items() if c in df.columns}
     df.withColumns(kept).write.mode("append").parquet(path)
-
-
-def replace_table(df: DataFrame, path: str, staging: str) -> None:
-    """Writes the new version of a table beside it first, so that a plan that reads the old one is done before it goes."""
-    df.write.mode("overwrite").parquet(staging)
-    df.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)

@@ -53,27 +53,27 @@ def run_to_table(stream: DataFrame, name: str) -> str:
     return out + "/data"
 
 
-def upsert_stream(stream: DataFrame, key: str, time: str, columns: list[str]) -> str:
-    """Keeps the latest row per key over all micro-batches; gives the folder of the last version.
+def upsert_stream(stream: DataFrame, key: str, time: str, columns: list[str], place: str | None = None) -> str:
+    """Keeps the latest row per key over all micro-batches; gives the folder of the table.
 
-    Each batch is reduced to a row per key, merged with the version before and
-    written as a new version named by the batch id, so a batch that is run
-    again after a failure writes the same version again.
+    Each batch is reduced to a row per key and written as a delta named by its
+    number, so a batch that is run again after a failure writes the same delta
+    again.  All that is known lies in the folder: a run that goes on at the
+    same ``place`` reads it there.  The deltas are put together once, at the end.
     """
     spark = stream.sparkSession
-    out = _place(spark, "upsert")
-    versions: dict[int, str] = {}
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.where(F.col(key).isNotNull()).select(key, time, *columns)
-        before = [v for v in versions if v < number]
-        if before:
-            rows = rows.unionByName(spark.read.parquet(versions[max(before)]))
-        latest = rows.groupBy(key).agg(F.max(F.struct(F.coalesce(time, F.lit("0001-01-01").cast("timestamp_ntz")).alias("__at"), time, *columns)).alias("r")).select(key, f"r.{time}", *[f"r.{c}" for c in columns])
-        path = f"{out}/v{number}"
-        latest.write.mode("overwrite").parquet(path)
-        versions[number] = path
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", out + "/log").trigger(availableNow=True).start()
+    out = place or _place(spark, "upsert")
+    kinds = dict(stream.dtypes)
+
+    def latest(rows: DataFrame) -> DataFrame:
+        at = F.coalesce(time, F.lit("0001-01-01").cast(kinds[time]))
+        return rows.groupBy(key).agg(F.max(F.struct(at.alias("__at"), time, *columns)).alias("r")).select(key, f"r.{time}", *[f"r.{c}" for c in columns])
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest(batch.where(F.col(key).isNotNull()).select(key, time, *columns)).write.mode("overwrite").parquet(f"{out}/deltas/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", out + "/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return versions[max(versions)] if versions else ""
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, time, *columns))
+    latest(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out + "/deltas")).write.mode("overwrite").parquet(out + "/table")
+    return out + "/table"

@@ -113,6 +113,32 @@ def test_layers_of_a_page(spark):
     assert rows(html.next_links(links_)) == [(1, "?page=2")]
 
 
+FOREIGN = """<!doctype html><html><head><title>Offer</title>
+<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"WebPage","name":"x"},{"@type":["Product","Thing"],"name":"Used lathe QT-28","brand":"Acme","offers":{"price":"4.500,00","priceCurrency":"EUR"}}]}</script></head>
+<body><nav class="main-menu"><a href="/a">A</a></nav><h1>Lathe</h1><table><tr><td>Baujahr:</td><td>ca. 1998</td></tr><tr><td>Zustand</td><td>gebraucht</td></tr><tr><td>Typ</td><td>Lathe</td></tr></table></body></html>"""
+
+
+def test_foreign_pages(spark):
+    r = html.record(FOREIGN)
+    assert (r["name"], r["brand"], r["price"], r["currency"], r["model"], r["type"], r["year"], r["condition"]) == ("Used lathe QT-28", "Acme", 4500.0, "EUR", "QT-28", "Lathe", 1998, "gebraucht")
+    plain = html.record("<h1>New press AB 1200, built 2011</h1>")
+    assert (plain["model"], plain["year"], plain["condition"], plain["price"]) == ("AB 1200", 2011, "new", None)
+    nested = '<script type="application/ld+json">[{"@graph":[{"@graph":[{"@type":"Product","name":"Deep"}]}]}]</script>'
+    assert html.record(nested)["name"] == "Deep"
+    carried = spark.createDataFrame([('<script type="application/json"> {"a":[1]} </script><script>var x = [1,2];</script><script>var y = [1,;</script><script type="application/json">{"b":</script>',), ("",), (None,)], "h string")
+    assert [r[0] for r in carried.select(html.embedded(F.col("h"))).collect()] == [['{"a":[1]}', "[1,2]"], [], None]
+
+
+def test_scans_stop(spark):
+    from tallyforge.sources import api_pages
+
+    pages = [("a", 0, "[1,2]"), ("a", 1, "[1]"), ("a", 2, "[1,2]"), ("b", 0, "[1,2]"), ("b", 1, "[]"), ("b", 2, "no"), ("b", 3, "[1,2]"), ("c", 0, None), ("c", 1, "[1,2]"), ("c", None, "[1]")]
+    got = api_pages.until_end(spark.createDataFrame(pages, "s string, p int, x string"), "s", "p", "x", 2).select("s", "p")
+    assert rows(got) == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("b", 2), ("c", 0), ("c", 1)]
+    ring = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("q", "x")], "cursor string, following string")
+    assert rows(api_pages.by_cursor(ring, "cursor", "following", "x")) == [("x", 0), ("y", 1), ("z", 2)]
+
+
 def test_sitemaps(spark):
     good = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://h/machine/1/ </loc></url></urlset>'
     assert sitemap.locations(good) == [("https://h/machine/1/", False)]
