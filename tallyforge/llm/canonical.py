@@ -189,6 +189,15 @@ class Matcher:
                     best = (d, ref_id)
         return best[1] if best else -1
 
+    def reached(self, value: str) -> dict[int, int]:
+        """Every entry within reach of a value with its least distance over the value's variants."""
+        out: dict[int, int] = {}
+        if fold(value) and " ".join(value.split()).casefold() not in NOTHING:
+            for v in self._variants(value):
+                for ref_id, d in self.trie.search(fold(v), max_distance(len(fold(v)))).items():
+                    out[ref_id] = min(d, out.get(ref_id, d))
+        return out
+
     def _abbreviated(self, variants: list[str]) -> int | None:
         """Words cut with a point: ``Horiz. Borer``."""
         for v in variants:
@@ -203,9 +212,55 @@ class Matcher:
         return None
 
 
+#: A canonical list is a reference table; the trie of a longer one would no longer be a small thing to hand to every task.
+MOST_ENTRIES = 200_000
+
+
 def entries_of(reference: DataFrame, id_col: str, name_col: str, alias_col: str) -> list[tuple[int, str, str | None]]:
-    """A reference list (a fixed table: its size is its own, not the data's)."""
-    return [tuple(r) for r in reference.select(id_col, name_col, alias_col).where(f"{id_col} is not null and {name_col} is not null").collect()]
+    """A reference list: a fixed table whose size is its own, not the data's; checked before it is handed to the tasks."""
+    rows = [tuple(r) for r in reference.select(id_col, name_col, alias_col).where(f"{id_col} is not null and {name_col} is not null").limit(MOST_ENTRIES + 1).collect()]
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries: split the list by kind and map each part")
+    return rows
+
+
+_made: dict[tuple, Matcher] = {}
+
+
+def matcher(entries: list[tuple[int, str, str | None]], kind: str) -> Matcher:
+    """The matcher of a list, built once per worker and kept for its next tasks."""
+    key = (kind, tuple(entries))
+    if key not in _made:
+        if len(_made) > 8:
+            _made.clear()
+        _made[key] = Matcher(entries, kind)
+    return _made[key]
+
+
+def matched(values: DataFrame, entries: dict[str, list[tuple]], field_col: str, value_col: str, carried: list[str]) -> DataFrame:
+    """``values`` (field, value, carried columns) with ``ref_id``, for those that are neither null nor blank."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matchers = {name: matcher(rows, name) for name, rows in entries.items()}
+        for b in batches:
+            yield b.assign(ref_id=[matchers[f].match(v) if v.strip() else None for f, v in zip(b[field_col].array, b[value_col].array)]).dropna(subset=["ref_id"]).astype({"ref_id": "int64"})
+
+    source = values.where(F.col(value_col).isNotNull() & F.col(field_col).isin(*entries)).select(field_col, value_col, *carried)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    return spread(source).mapInPandas(run, f"{schema}, ref_id long")
+
+
+def within(values: DataFrame, entries: dict[str, list[tuple]], field_col: str, value_col: str) -> DataFrame:
+    """(field, value, ref_id, distance) for every entry within the length-dependent distance of each value."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matchers = {name: matcher(rows, name) for name, rows in entries.items()}
+        for b in batches:
+            out = [(f, v, r, d) for f, v in zip(b[field_col].array, b[value_col].array) for r, d in sorted(matchers[f].reached(v).items())]
+            yield pd.DataFrame(out, columns=["field", "value", "ref_id", "distance"]).astype({"ref_id": "int64", "distance": "int64"})
+
+    source = values.where(F.col(value_col).isNotNull() & F.col(field_col).isin(*entries)).select(field_col, value_col)
+    return spread(source).mapInPandas(run, "field string, value string, ref_id long, distance long")
 
 
 def map_values(rows: DataFrame, id_col: str, fields: dict[str, tuple[str, list[tuple[int, str, str | None]]]]) -> DataFrame:
@@ -218,7 +273,7 @@ def map_values(rows: DataFrame, id_col: str, fields: dict[str, tuple[str, list[t
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers = {name: Matcher(entries, name) for name, (_, entries) in fields.items()}
+        matchers = {name: matcher(entries, name) for name, (_, entries) in fields.items()}
         for b in batches:
             for name, m in matchers.items():
                 ids, refs = [], []

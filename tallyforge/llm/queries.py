@@ -23,10 +23,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values without an entry, with their number of rows."""
+    """Values without an entry, with their number of rows; each distinct value is matched once."""
     rows = table(spark, sf_dir, "machines")
-    values = rows.select("id", F.explode(F.array(F.struct(F.lit("brand").alias("field"), F.col("brand").alias("value")), F.struct(F.lit("type").alias("field"), F.col("machine_type").alias("value")))).alias("v"))
-    return p2_found(spark, sf_dir).where("ref_id = -1").join(values.select("id", "v.field", "v.value"), ["id", "field"]).groupBy("field", "value").agg(F.count("*").alias("n_rows"))
+    values = F.array(F.struct(F.lit("brand").alias("field"), F.col("brand").alias("value")), F.struct(F.lit("type").alias("field"), F.col("machine_type").alias("value")))
+    counts = rows.where("id is not null").select(F.explode(values).alias("v")).groupBy("v.field", "v.value").agg(F.count("*").alias("n_rows"))
+    return canonical.matched(counts, {"brand": _brands(spark, sf_dir), "type": _types(spark, sf_dir)}, "field", "value", ["n_rows"]).where("ref_id = -1").select("field", "value", "n_rows")
+
+
+def p2_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry within reach of each distinct value, with its distance; the nearest one is that of ``p2_found``."""
+    rows = table(spark, sf_dir, "machines")
+    values = F.array(F.struct(F.lit("brand").alias("field"), F.col("brand").alias("value")), F.struct(F.lit("type").alias("field"), F.col("machine_type").alias("value")))
+    distinct = rows.select(F.explode(values).alias("v")).select("v.field", "v.value").distinct()
+    return canonical.within(distinct, {"brand": _brands(spark, sf_dir), "type": _types(spark, sf_dir)}, "field", "value")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +53,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each website_source truncates: (website_source, n_texts, n_truncated, share)."""
-    rows = table(spark, sf_dir, "machines")
-    cut = truncation.score(rows).where("p >= 0.5").select("id").distinct().withColumn("is_cut", F.lit(1))
-    joined = rows.where("description is not null").select("id", "website_source").join(cut, "id", "left")
-    out = joined.groupBy("website_source").agg(F.count("*").alias("n_texts"), F.coalesce(F.sum("is_cut"), F.lit(0)).alias("n_truncated"))
+    scored = truncation.score(table(spark, sf_dir, "machines"), group_col="website_source").withColumnRenamed("grp", "website_source")
+    out = scored.groupBy("website_source").agg(F.count("*").alias("n_texts"), F.count_if(F.col("p") >= 0.5).alias("n_truncated"))
     return out.withColumn("share", F.col("n_truncated") / F.col("n_texts"))
 
 
@@ -119,6 +126,6 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(hit).alias("n_found"), F.avg(hit).alias("rate"), F.avg("severity").alias("mean_severity"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_main_body, p4_found, p4_rates, p5_found, p5_survivors, p6_found, p6_classes,
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p2_within, p3_found, p3_main_body, p4_found, p4_rates, p5_found, p5_survivors, p6_found, p6_classes,
                                    p8_assignments, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 ORACLE_SQL: dict[str, str] = {}

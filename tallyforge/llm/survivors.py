@@ -3,9 +3,13 @@
 Fields that depend on each other travel together as bundles: an offer (price,
 currency), a text (description), an identity (brand, model, stock number, type)
 and a page (url, source).  Each bundle of a survivor comes whole from one row,
-so the dependencies inside a bundle hold; across bundles the model a text is
-about must be the model of the identity.  Within those constraints branch and
-bound picks the bundles with the greatest trust.
+so the dependencies inside a bundle hold (a price keeps its currency); across
+bundles the model a text is about must be the model of the identity and of the
+page that is linked.  Within those constraints branch and bound picks the
+bundles with the greatest trust: a later page or a fuller identity of another
+model gives way.  An offer depends on no other bundle, and the text comes
+before what has to agree with it, so these two are always their own best rows;
+that is what the problem asks of price and description.
 
 Copies are first reduced to the best bundle of each kind per (key, model
 number) by plain aggregates, with partial aggregation before the shuffle: a key
@@ -23,12 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from . import boilerplate
 from .product_code import title_code
 from .truncation import MARKS
 
 _TAIL = re.compile("(?:" + "|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True)) + r")\s*$")
 BUNDLES = ("offer", "text", "identity", "page")
+TIED = ("text", "identity", "page")
 #: Places of the kinds of bundle in the order of importance: no gain of a lower place outweighs a loss of a higher one.
 PLACES = {"offer": 3, "text": 2, "identity": 1, "page": 0}
 
@@ -54,12 +60,12 @@ def completeness(pages: list[str | None], fitted=None) -> list[tuple[int, str]]:
     return out
 
 
-def branch_and_bound(choices: dict[str, list[tuple[int, str, int]]]) -> tuple[int, dict[str, int]]:
+def branch_and_bound(choices: dict[str, list[tuple[int, str, int]]], tied: tuple[str, ...] = ("text", "identity")) -> tuple[int, dict[str, int]]:
     """The row for each bundle that maximises weighted trust.
 
-    ``choices`` lists (trust as a rank from 1, model number, row) per bundle.  Text and
-    identity must agree on the model number where both have one.  A bundle
-    without a choice stays open.
+    ``choices`` lists (trust as a rank from 1, model number, row) per bundle.  The
+    ``tied`` bundles must agree on the model number where they have one.  A bundle
+    without a choice stays open, and so does a tied one behind the text that agrees in no row.
     """
     order = [b for b in BUNDLES if choices.get(b)]
     lists = [sorted(choices[b], key=lambda c: (-c[0], c[2])) for b in order]
@@ -79,12 +85,12 @@ def branch_and_bound(choices: dict[str, list[tuple[int, str, int]]]) -> tuple[in
             return
         name = order[k]
         for trust, code, row in lists[k]:
-            if name in ("text", "identity") and code and model and code != model:
+            if name in tied and code and model and code != model:
                 continue
             picked[name] = row
-            descend(k + 1, got + weights[name] * trust, (model or code) if name in ("text", "identity") else model, picked)
+            descend(k + 1, got + weights[name] * trust, (model or code) if name in tied else model, picked)
             del picked[name]
-        if name == "identity":  # it may stay open where no identity agrees with the text
+        if name in tied and name != "text":
             descend(k + 1, got, model, picked)
 
     descend(0, 0, "", {})
@@ -92,11 +98,10 @@ def branch_and_bound(choices: dict[str, list[tuple[int, str, int]]]) -> tuple[in
 
 
 def candidates(machines: DataFrame) -> DataFrame:
-    """(dedup_key, id, crawled, real, size, text_code, row_code, filled) of every row whose key has copies."""
+    """(dedup_key, id, crawled, real, filled, size, text_code, row_code) of every row whose key stands for something known; a description leaves its task as its size and model number."""
     rows = machines.where(F.col("dedup_key").isNotNull() & ~F.array_contains(unknown_keys(), F.col("dedup_key")) & F.col("id").isNotNull())
-    shared = rows.groupBy("dedup_key").agg(F.count("*").alias("copies")).where("copies > 1").select("dedup_key")
     known = [F.coalesce(F.trim(c) != "", F.lit(False)).cast("int") for c in ("brand", "model", "stock_number", "machine_type")]
-    picked = rows.join(shared, "dedup_key", "left_semi").select(
+    picked = rows.select(
         "dedup_key", "id", F.col("last_crawled_at").cast("timestamp_ntz").alias("crawled"), real_amount(F.col("price")).alias("real"),
         sum(known[1:], known[0]).alias("filled"), F.upper(F.coalesce("model", F.lit(""))).alias("model"), "description",
     )
@@ -108,7 +113,7 @@ def candidates(machines: DataFrame) -> DataFrame:
             sized = completeness(list(b["description"].array), fitted)
             yield b.drop(columns=["description", "model"]).assign(size=[s for s, _ in sized], text_code=[c for _, c in sized], row_code=[title_code([m], strict=False) for m in b["model"].array])
 
-    return picked.mapInPandas(read, "dedup_key string, id long, crawled timestamp_ntz, real boolean, filled int, size long, text_code string, row_code string")
+    return spread(picked).mapInPandas(read, "dedup_key string, id long, crawled timestamp_ntz, real boolean, filled int, size long, text_code string, row_code string")
 
 
 def best_bundles(rows: DataFrame) -> DataFrame:
@@ -118,6 +123,7 @@ def best_bundles(rows: DataFrame) -> DataFrame:
     tie = -F.col("id")
     code = F.when(F.col("text_code") != "", F.col("text_code")).otherwise(F.col("row_code"))
     return rows.groupBy("dedup_key", code.alias("code")).agg(
+        F.count("*").alias("rows"),
         F.max(F.when(F.col("real"), F.struct(when.alias("at"), tie.alias("tie")))).alias("offer"),
         F.max(F.when(F.col("size") > 0, F.struct("size", when.alias("at"), tie.alias("tie")))).alias("text"),
         F.max(F.when(F.col("filled") > 0, F.struct("filled", when.alias("at"), tie.alias("tie")))).alias("identity"),
@@ -136,7 +142,7 @@ def survivors(machines: DataFrame) -> DataFrame:
     kinds = {"offer": [("at", "timestamp_ntz")], "text": [("size", "long"), ("at", "timestamp_ntz")], "identity": [("filled", "int"), ("at", "timestamp_ntz")], "page": [("at", "timestamp_ntz")]}
     best = best_bundles(candidates(machines))
     # distinct model numbers of a key, not its rows
-    grouped = best.groupBy("dedup_key").agg(F.collect_list(F.struct("code", *[F.struct(*[F.col(f"{b}.{f}").cast("string" if t.startswith("time") else t).alias(f) for f, t in fs], F.col(f"{b}.tie").alias("tie")).alias(b) for b, fs in kinds.items()])).alias("found"))
+    grouped = best.groupBy("dedup_key").agg(F.sum("rows").alias("copies"), F.collect_list(F.struct("code", *[F.struct(*[F.col(f"{b}.{f}").cast("string" if t.startswith("time") else t).alias(f) for f, t in fs], F.col(f"{b}.tie").alias("tie")).alias(b) for b, fs in kinds.items()])).alias("found")).where("copies > 1").drop("copies")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,7 +153,7 @@ def survivors(machines: DataFrame) -> DataFrame:
                     have = [(tuple(f[name][x] for x, _ in fields), f[name]["tie"], f["code"]) for f in found if f[name] is not None and f[name]["tie"] is not None]
                     ranks = {v: k + 1 for k, v in enumerate(sorted({(h[0], h[1]) for h in have}))}
                     choices[name] = [(ranks[(v, tie)], code, -int(tie)) for v, tie, code in have]
-                _, row = branch_and_bound(choices)
+                _, row = branch_and_bound(choices, TIED)
                 out.append((key, *[row.get(name) for name in BUNDLES]))
             yield pd.DataFrame(out, columns=["dedup_key", "offer_id", "text_id", "identity_id", "page_id"]).astype({f"{n}_id": "Int64" for n in BUNDLES})
 
