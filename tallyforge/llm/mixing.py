@@ -6,8 +6,8 @@ replacement after Efraimidis and Spirakis: each text draws an exponential key
 divided by its quality weight, texts are taken in order of their keys, and the
 prefix sums of their tokens end at the budget.  The order is never sorted as a
 whole: keys fall into bins, bins below the one where the budget ends are taken,
-and only that one is sorted, so a source that holds a third of all texts is no
-single task.
+and only that one is sorted.  There are as many bins as keep a bin small, so a
+source that holds a third of all texts is no single task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from ..runtime import cut
 
-BINS = 1 << 14
+BINS, IN_BIN = 1 << 14, 20_000
 
 
 def letter_share(text: Column) -> Column:
@@ -71,8 +71,10 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     rows = [tuple(r) for r in targets.where("source_name is not null").groupBy("source_name").agg(F.max("target_share"), F.max("max_repeats")).collect()]
     listed = [r[0] for r in rows]
     own = cut(docs.where(F.col("source").isin(listed) & (F.col("tokens") > 0)).select("doc_id", "source", "tokens", exponential_key(F.col("doc_id"), F.col("weight"), seed).alias("key")))
-    binned = own.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * BINS).cast("int"))
-    stats = [(r["source"], r["tokens"]) for r in own.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()]
+    sizes = own.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
+    stats = [(r["source"], r["tokens"]) for r in sizes]
+    bins = max(BINS, *(r["n"] // IN_BIN for r in sizes), 0)
+    binned = own.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * bins).cast("long"))
     budget, _ = budgets(stats, rows, total)
     plan = spark.createDataFrame([(s, w, r) for s, (_, w, r) in budget.items()], "source string, whole int, rest double")
     # bins x sources rows at most
