@@ -34,13 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and runs in one process (local tests) a
+    temporary folder is set; on a cluster a folder must be named.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = os.path.join(tempfile.gettempdir(), "tallyforge-checkpoints")
         os.makedirs(conf, exist_ok=True)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
