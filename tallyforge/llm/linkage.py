@@ -7,9 +7,7 @@ another maker of the list is another product by definition: the suffix is part
 of every block, and two such makers are never linked.  There are two
 kinds of blocks: listings with the same code, and listings of one maker whose
 codes are one edit apart (they share what is left when a sign is taken out).
-Inside a block a signature is not compared with all others but with hubs: the
-most frequent signature of its maker, that of the block, and for makers outside
-the list those of the makers that begin or end alike.
+Inside a block every signature is compared with every other one.
 
 A field's weight is log(m / u).  How often fields agree by chance, u, is
 counted on random pairs; how often they agree in one product, m, and how many
@@ -18,7 +16,9 @@ counts of agreement patterns.  How many codes one edit apart are mistyped is a
 parameter: a maker's neighbouring codes mostly are neighbouring products, and
 the few fields cannot tell by themselves how many are not.  A field that a
 block is made by says nothing in it.  Links above the threshold make the
-clusters, as connected components.
+clusters, as connected components; only where one would hold two makers of the
+list, because a listing without a maker or of a third one links to both, the
+links count from the strongest down and those that would join the two do not.
 """
 
 from __future__ import annotations
@@ -119,36 +119,25 @@ def signatures(listings: DataFrame) -> DataFrame:
     return listings.groupBy("block", "suffix", "maker", "kind").agg(F.count("*").alias("n"), F.percentile_approx("mass", 0.5).alias("mass"), F.percentile_approx("power", 0.5).alias("power"))
 
 
-ROW = ("n", "maker", "kind", "mass", "power")
+ROW = ("n", "block", "suffix", "maker", "kind", "mass", "power")
 
 
-def comparisons(sigs: DataFrame) -> DataFrame:
-    """Each signature (``own``) beside the hub of its code and maker and the top of its code.
+def alike(sigs: DataFrame) -> DataFrame:
+    """(kind of block, a, b): every two signatures that share a block, once.
 
-    Hubs are aggregates that are joined, so a code with very many spellings of
-    makers is no single task.
-    """
-    own = sigs.select("block", "suffix", "maker", "kind", F.struct(*ROW).alias("own"))
-    hubs = own.groupBy("block", "suffix", "maker").agg(F.max("own").alias("hub"))
-    tops = hubs.groupBy("block", "suffix").agg(F.coalesce(F.max(F.when(F.col("maker") != "", F.col("hub"))), F.max("hub")).alias("top"))
-    return own.join(hubs.join(tops, ["block", "suffix"]), ["block", "suffix", "maker"])
-
-
-def alike(models: DataFrame) -> DataFrame:
-    """Pairs of models (block, suffix, maker, hub) to compare beyond those of ``comparisons``: (kind of block, a, b).
-
-    ``near``: one maker, codes one edit apart.  ``code``: one code, makers outside the list that begin or end alike.
-    Every model is compared with the most frequent one that shares a key with it.
+    ``code``: one code.  ``near``: one maker, codes one edit apart.  Signatures of
+    one code are joined, so a code with very many spellings of makers is no single
+    task; how many codes share what is left without one sign is bounded by the signs.
     """
+    node = F.struct(*ROW)
+    a, b = (sigs.select("block", "suffix", node.alias(s)) for s in "ab")
+    same = a.join(b, ["block", "suffix"]).where("a.maker < b.maker or (a.maker = b.maker and a.kind < b.kind)").select(F.lit("code").alias("kind_of"), "a", "b")
     code = F.replace("block", F.lit(" "), F.lit(""))
     shorter = F.transform(F.sequence(F.lit(1), F.length(code)), lambda k: F.concat(F.substring(code, F.lit(1), k - 1), F.substring(code, k + 1, F.length(code))))
-    known, listed = F.col("maker") != "", F.col("maker").startswith("#")
-    edits = models.where(known).select(F.lit("near").alias("kind_of"), F.explode(F.array_distinct(F.concat(F.array(code), shorter))).alias("key"), F.concat_ws("|", "suffix", "maker").alias("key2"), "node")
-    ends = models.where(known & ~listed).select(F.lit("code").alias("kind_of"), F.explode(F.array(F.concat(F.lit("<"), F.left("maker", F.lit(3))), F.concat(F.lit(">"), F.right("maker", F.lit(3))))).alias("key"), F.concat_ws("|", "block", "suffix").alias("key2"), "node")
-    keyed = edits.unionByName(ends)
-    group = ["kind_of", "key", "key2"]
-    hubs = keyed.groupBy(*group).agg(F.max("node").alias("b"), F.count("*").alias("members")).where("members > 1").drop("members")
-    return keyed.join(hubs, group).where("node.block <> b.block or node.maker <> b.maker").select("kind_of", F.col("node").alias("a"), "b").distinct()
+    keyed = sigs.where("maker <> ''").select("suffix", "maker", F.explode(F.array_distinct(F.concat(F.array(code), shorter))).alias("key"), node.alias("node"))
+    groups = keyed.groupBy("suffix", "maker", "key").agg(F.collect_list("node").alias("nodes")).where("size(nodes) > 1")
+    near = groups.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a.block < b.block")
+    return same.unionByName(near.distinct().select(F.lit("near").alias("kind_of"), "a", "b"))
 
 
 def levels(a: str, b: str, blocked_on_maker: bool = False) -> dict:
@@ -225,52 +214,71 @@ def components(edges: DataFrame) -> DataFrame:
         known = new.drop("before")
 
 
+def parted(edges: pd.DataFrame) -> pd.DataFrame:
+    """(name, part) for the links of one component: taken from the strongest down, without those that would join two makers of the list."""
+    boss: dict[str, str] = {}
+    maker: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while boss[x] != x:
+            boss[x] = x = boss[boss[x]]
+        return x
+
+    for e in edges.itertuples():
+        for x, m in ((e.a, e.maker_a), (e.b, e.maker_b)):
+            boss.setdefault(x, x)
+            maker.setdefault(x, m if m.startswith("#") else "")
+    for e in edges.sort_values(["weight", "n", "a", "b"], ascending=[False, False, True, True]).itertuples():
+        x, y = sorted((find(e.a), find(e.b)))
+        if x != y and (not maker[x] or not maker[y] or maker[x] == maker[y]):
+            boss[y], maker[x] = x, maker[x] or maker[y]
+    return pd.DataFrame([(x, find(x)) for x in boss], columns=["name", "part"])
+
+
+def clusters(edges: DataFrame) -> DataFrame:
+    """(name, component) of every name in ``edges`` (a, b, maker_a, maker_b, weight, n), none with two makers of the list."""
+    found = components(edges.select("a", "b"))
+    within = edges.join(found, F.col("a") == F.col("name")).drop("name")
+    listed = within.select("component", F.explode(F.array("maker_a", "maker_b")).alias("maker")).where(F.col("maker").startswith("#"))
+    mixed = cut(listed.groupBy("component").agg(F.min("maker").alias("least"), F.max("maker").alias("most")).where("least <> most").select("component"))
+    if mixed.isEmpty():
+        return found
+    parts = within.join(mixed, "component").groupBy("component").applyInPandas(lambda e: parted(e), "name string, part string")
+    return found.join(parts, "name", "left").select("name", F.coalesce("part", "component").alias("component"))
+
+
 def random_pairs(sigs: DataFrame) -> DataFrame:
-    """Each signature beside the one before it in the order of a hash, as ``own`` and ``other``."""
+    """Each signature beside the one before it in the order of a hash, as ``a`` and ``b``."""
     h = F.xxhash64("block", "suffix", "maker", "kind", F.lit(41))
-    place = sigs.select(F.struct(*ROW).alias("own"), h.alias("h"), F.pmod(h, F.lit(1024)).alias("part"))
-    return place.withColumn("other", F.lag("own").over(W.partitionBy("part").orderBy("h"))).where("other is not null")
+    place = sigs.select(F.struct(*ROW).alias("a"), h.alias("h"), F.pmod(h, F.lit(1024)).alias("part"))
+    return place.withColumn("b", F.lag("a").over(W.partitionBy("part").orderBy("h"))).where("b is not null")
 
 
 def products(listings: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(id, website_id, product_id): the cluster of every listing with a stated model."""
     listings = cut(listings)
-    sigs = cut(comparisons(signatures(listings)))
-    models = sigs.where("own = hub").select("block", "suffix", "maker", F.struct(F.col("hub.n").alias("n"), "block", "suffix", "maker", F.col("hub.kind").alias("kind"), F.col("hub.mass").alias("mass"), F.col("hub.power").alias("power")).alias("node"))
-    others = cut(alike(models))
-    patterns = None
-    for a, b, rows in (("own", "hub", sigs.where("own <> hub")), ("hub", "top", sigs.where("own = hub and hub <> top")), ("a", "b", others.where("kind_of = 'code'"))):
-        lv = rows.select(F.lit("code").alias("kind_of"), *[c.alias(f) for f, c in levels(a, b).items()])
-        patterns = lv if patterns is None else patterns.unionByName(lv)
-    patterns = patterns.unionByName(others.where("kind_of = 'near'").select("kind_of", *[c.alias(f) for f, c in levels("a", "b", True).items()]))
-    by_chance = random_pairs(sigs.select("block", "suffix", "own.*")).select(F.lit("chance").alias("kind_of"), *[c.alias(f) for f, c in levels("own", "other").items()])
+    sigs = cut(signatures(listings))
+    pairs = cut(alike(sigs))
+    patterns = pairs.select("kind_of", *[F.when(F.col("kind_of") == "near", by_maker).otherwise(c).alias(f) for (f, c), by_maker in zip(levels("a", "b").items(), levels("a", "b", True).values())])
+    by_chance = random_pairs(sigs).select(F.lit("chance").alias("kind_of"), *[c.alias(f) for f, c in levels("a", "b").items()])
     # at most 3 x 3^4 rows
-    counts = [(r["kind_of"], tuple(r[f] for f in FIELDS), r["n"]) for r in patterns.unionByName(by_chance).groupBy("kind_of", *FIELDS).agg(F.count("*").alias("n")).collect()]
+    counts = sorted((r["kind_of"], tuple(r[f] for f in FIELDS), r["n"]) for r in patterns.unionByName(by_chance).groupBy("kind_of", *FIELDS).agg(F.count("*").alias("n")).collect())
     weights, prior = expectation_maximisation([c for c in counts if c[0] != "chance"], chance([c[1:] for c in counts if c[0] == "chance"]))
 
-    def weight(a: str, b: str, kind_of: str) -> Column:
+    def weight(kind_of: str) -> Column:
         total = F.lit(prior[kind_of])
-        for f, level in enumerate(levels(a, b, kind_of == "near").values()):
+        for f, level in enumerate(levels("a", "b", kind_of == "near").values()):
             total = total + F.when(level == 2, weights[f][2]).when(level == 0, weights[f][0]).otherwise(0.0)
         return total
 
-    def linked(a: str, b: str) -> Column:
-        makers = [F.col(f"{x}.maker") for x in (a, b)]
-        two = makers[0].startswith("#") & makers[1].startswith("#") & (makers[0] != makers[1])
-        return (F.col(a) == F.col(b)) | (~two & (weight(a, b, "code") > threshold))
-
-    name = lambda maker: F.concat_ws("|", "block", "suffix", maker)
-    of_hub = F.when(linked("hub", "top"), name(F.col("top.maker"))).otherwise(name(F.col("maker")))
-    own = F.when(linked("own", "hub"), of_hub).otherwise(F.concat_ws("|", name(F.col("maker")), "kind"))
-    named = sigs.select("block", "suffix", "maker", "kind", own.alias("name"))
-    # beyond a code's own hubs there are few links: only their ends take part in the components
-    links_ = others.where(F.when(F.col("kind_of") == "near", weight("a", "b", "near")).otherwise(weight("a", "b", "code")) > threshold)
-    at = lambda s: F.concat_ws("|", f"{s}.block", f"{s}.suffix", f"{s}.maker")
-    hubs = sigs.where("own = hub").select(name(F.col("maker")).alias("model"), of_hub.alias("of"))
-    ends = links_.select(at("a").alias("a"), at("b").alias("b")).join(hubs.select(F.col("model").alias("a"), F.col("of").alias("of_a")), "a").join(hubs.select(F.col("model").alias("b"), F.col("of").alias("of_b")), "b")
-    edges = cut(ends.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    name = lambda at: F.concat_ws("|", *[F.col(f"{at}{c}") for c in ("block", "suffix", "maker", "kind")])
+    makers = [F.col(f"{s}.maker") for s in "ab"]
+    two = makers[0].startswith("#") & makers[1].startswith("#") & (makers[0] != makers[1])
+    weighed = pairs.where(~two).withColumn("weight", F.when(F.col("kind_of") == "near", weight("near")).otherwise(weight("code")))
+    edges = cut(weighed.where(F.col("weight") > threshold).select(name("a.").alias("a"), name("b.").alias("b"), makers[0].alias("maker_a"), makers[1].alias("maker_b"), "weight", F.greatest("a.n", "b.n").alias("n")))
+    named = sigs.select("block", "suffix", "maker", "kind", name("").alias("name"))
     if not edges.isEmpty():
-        named = named.join(components(edges), "name", "left").withColumn("name", F.coalesce("component", "name")).drop("component")
+        named = named.join(clusters(edges), "name", "left").withColumn("name", F.coalesce("component", "name")).drop("component")
     ids = named.select("block", "suffix", "maker", "kind", F.sha2("name", 256).alias("product_id"))
     return listings.join(ids, ["block", "suffix", "maker", "kind"]).select("id", "website_id", "product_id")
 
