@@ -8,44 +8,67 @@ reads closing characters, punctuation, the words of the last line and how the
 length stands to the limits: lengths far more frequent than chance, given their
 neighbours over all rows.  A spike need not be a limit, as pages made of fixed
 lines repeat their lengths, too: a round spike is taken for a limit unless the
-sampled texts of that length mostly end intact, any other one only where they
+texts of that length mostly end intact, any other one only where they
 mostly end cut.  The model is fitted twice: on lines
-first, then on whole texts that the first fit takes for intact.  The fit uses a
-bounded sample, the limits and the scores cover every row.
+first, then on whole texts that the first fit takes for intact.  Fits, limits
+and scores cover every row.  Digits are alike to the features, so lines that
+differ in them alone are one line with a count.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, spread
-from .hashed import Rows, bucket, fit_logistic, sigmoid
+from ..runtime import cut, spread, written
+from .hashed import EXAMPLES, Rows, bucket, examples, fit_everywhere, fit_logistic, sigmoid
 
 BITS = 18
+_MASK = (1 << BITS) - 1
 # What cutting leaves at the end of a text.
 MARKS = ["...", "…", " ...", " …", " [...]", "[...]", "[…]", "�", "&nb", "&nbs", "&nbsp", "&am", "<br", "<span cla", "<p", "</di", "(more)"]
 _MARK = re.compile(r"(\s?(?:\[(?:\.\.\.|…)\]|\.\.\.+|…)|�+|&[a-z]{1,6}|<[^<>\n]{0,20})$")
 
 
+_LETTERS, _DIGIT, _DIGITS = re.compile(r"[a-z ]+"), re.compile(r"\d"), re.compile(r"\d+")
+
+
+class _Classes(dict):
+    def __missing__(self, c: str) -> str:
+        self[c] = kind = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "_" if c.isspace() else c
+        return kind
+
+
+_of_char = _Classes().__getitem__
+
+
 def _class(text: str) -> str:
-    return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "_" if c.isspace() else c for c in text)
+    return "".join(map(_of_char, text))
+
+
+def _mark(line: str) -> re.Match | None:
+    """The mark at the end of a line; most ends are seen to have none without a search."""
+    return _MARK.search(line) if line[-1:] in ".…]�" or "&" in line[-7:] or "<" in line[-21:] else None
 
 
 def ending_features(line: str) -> list[str]:
     """What the end of a last line shows."""
-    mark = _MARK.search(line)
-    kind = re.sub(r"[a-z ]+", "x", mark[1]) if mark else ""
+    mark = _mark(line)
+    kind = _LETTERS.sub("x", mark[1]) if mark else ""
     body = line[: mark.start()] if mark else line
-    low = re.sub(r"\d", "0", body.lower())
-    short = re.sub(r"\d+", "0", low)
+    low = _DIGIT.sub("0", body.lower())
+    short = _DIGITS.sub("0", low)
     words = short.split()
     last = words[-1] if words else ""
     tail = words[-3:]
@@ -73,7 +96,14 @@ def length_features(length: int, limits: list[int]) -> list[str]:
 
 
 def hashed(names: list[str]) -> list[int]:
-    return [bucket(n, BITS) for n in names]
+    """The bucket of each name; names are of one line, so all are encoded at once."""
+    return [zlib.crc32(n) & _MASK for n in "\n".join(names).encode().split(b"\n")]
+
+
+@lru_cache(maxsize=1 << 14)
+def ending(line: str) -> list[int]:
+    """The buckets of a last line; many texts end alike."""
+    return hashed(ending_features(line))
 
 
 def is_natural_end(text: str, at: int) -> bool:
@@ -103,7 +133,7 @@ def last_line(text: str) -> str:
 
 
 def fit_lines(texts: list[str], seed: int = 7, n_lines: int = 40_000) -> tuple[list[list[int]], list[float], np.ndarray]:
-    """(features, labels, weights) of inner lines, whole and cut: what an ending says whatever its length."""
+    """(features, labels, weights) of inner lines at hand, whole and cut: what an ending says whatever its length."""
     rng = random.Random(seed)
     lines = [s for t in texts for s in t.split("\n")[:-1] if s.strip()]
     rng.shuffle(lines)
@@ -122,18 +152,20 @@ def by_endings(texts: list[str], first: np.ndarray) -> np.ndarray:
     return sigmoid(Rows([hashed(ending_features(last_line(t))) for t in texts]).dot(first) + first[-1]) if texts else np.zeros(0)
 
 
-def borne_out(spiked: list[int], texts: list[str], p: np.ndarray, least: int = 3) -> tuple[list[int], list[int]]:
-    """(lengths whose sampled texts mostly end cut, lengths whose sampled texts mostly do not), where ``least`` texts or more have the length."""
-    ends: dict[int, list[bool]] = {m: [] for m in spiked}
-    for t, q in zip(texts, p):
-        if len(t) in ends:
-            ends[len(t)].append(bool(q > 0.5))
-    seen = {m: sum(v) / len(v) for m, v in ends.items() if len(v) >= least}
+def by_share(ends: dict[int, tuple[int, int]], least: int = 3) -> tuple[list[int], list[int]]:
+    """(lengths whose texts mostly end cut, lengths whose texts mostly do not) from (texts, cut ones) of each, where ``least`` texts or more have the length."""
+    seen = {m: n_cut / n for m, (n, n_cut) in ends.items() if n >= least}
     return [m for m, share in seen.items() if share >= 0.5], [m for m, share in seen.items() if share < 0.5]
 
 
+def borne_out(spiked: list[int], texts: list[str], p: np.ndarray, least: int = 3) -> tuple[list[int], list[int]]:
+    """``by_share`` of the texts at hand."""
+    n, n_cut = Counter(len(t) for t in texts), Counter(len(t) for t, q in zip(texts, p) if q > 0.5)
+    return by_share({m: (n[m], n_cut[m]) for m in spiked}, least)
+
+
 def fit(texts: list[str], limits: list[int], seed: int = 7, n_lines: int = 40_000, lines: tuple | None = None) -> np.ndarray:
-    """Weights from a sample of texts; ``lines`` is what ``fit_lines`` gave for it."""
+    """Weights from texts at hand; ``lines`` is what ``fit_lines`` gave for them."""
     rows, y, first = lines or fit_lines(texts, seed, n_lines)
     rng = random.Random(seed + 1)
     whole = [t for t in texts if t.strip()]
@@ -177,32 +209,100 @@ def is_round(n: Column) -> Column:
     return (n % 5 == 0) | (n.bitwiseAND(n - 1) == 0) | (n.bitwiseAND(n + 1) == 0)
 
 
-def sample_texts(rows: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
-    """At most about ``most`` texts, spread over all rows by a hash of the id."""
-    kept = rows.where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-    n = kept.count()
-    if n > most:
-        kept = kept.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return [r[0] for r in kept.select(text_col).limit(2 * most).collect()]
+def line_examples(rows: DataFrame, text_col: str) -> DataFrame:
+    """``examples`` of every inner line, whole and, as often as it is there, cut: what an ending says whatever its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = random.Random()
+        for b in batches:
+            x, y, n_met, key = [], [], [], []
+            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not s.strip():
+                    continue
+                rng.seed(own := zlib.crc32(s.encode()))
+                x.append(hashed(ending_features(s)))
+                y.append(0.0)
+                n_met.append(n)
+                cuts = Counter(cut_somewhere(s, rng, []) for _ in range(n))
+                cuts.pop(None, None)
+                x += [hashed(ending_features(c)) for c in cuts]
+                y += [1.0] * len(cuts)
+                n_met += cuts.values()
+                key += [own] * (1 + len(cuts))
+            yield examples(x, y, n_met, key)
+
+    parts = F.split(F.regexp_replace(text_col, "[1-9]", "0"), "\n")
+    inner = rows.where(F.col(text_col).contains("\n")).select(F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("s"))
+    return inner.where(F.trim("s") != "").groupBy("s").agg(F.count("*").alias("n")).mapInArrow(run, EXAMPLES)
+
+
+def text_examples(rows: DataFrame, text_col: str, first: Callable[[list[list[int]]], np.ndarray], limits: list[int]) -> DataFrame:
+    """``examples`` of every whole text that the first fit takes for intact, whole and cut, twice each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = random.Random()
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t.strip()]
+            ends = [ending(last_line(t)) for t in texts]
+            x, y, n_met, key = [], [], [], []
+            for t, end, q in zip(texts, ends, first(ends)):
+                if q < 0.5:
+                    rng.seed(own := zlib.crc32(t.encode()))
+                    x.append(end + hashed(length_features(len(t), limits)))
+                    y.append(0.0)
+                    n_met.append(2)
+                    for _ in range(2):
+                        if (c := cut_somewhere(t, rng, limits)) is not None:
+                            x.append(hashed(ending_features(last_line(c)) + length_features(len(c), limits)))
+                            y.append(1.0)
+                            n_met.append(1)
+                    key += [own] * (len(x) - len(key))
+            yield examples(x, y, n_met, key)
+
+    return spread(rows.where(F.col(text_col) != "").select(text_col)).mapInArrow(run, EXAMPLES)
+
+
+def ends_at(rows: DataFrame, text_col: str, spiked: set[int], first: Callable[[list[list[int]]], np.ndarray]) -> dict[int, tuple[int, int]]:
+    """(texts, cut ones by their endings alone) of each of some lengths, over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [(n, s) for n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if n in spiked]
+            q = first([ending(s) for _, s in some])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int32()), pa.array(q > 0.5, pa.bool_())], names=["n", "ends_cut"])
+
+    source = rows.where(F.col(text_col) != "").select(F.length(text_col).alias("n"), F.substring_index(text_col, "\n", -1).alias("s"))
+    counts = source.mapInArrow(run, "n int, ends_cut boolean").groupBy("n").agg(F.count("*").alias("texts"), F.count_if("ends_cut").alias("n_cut"))
+    return {r["n"]: (r["texts"], r["n_cut"]) for r in counts.collect()}
+
+
+def model(rows: DataFrame, text_col: str) -> tuple[np.ndarray, list[int]]:
+    """(weights, limits) from every text."""
+    spark = rows.sparkSession
+    lines = spark.read.parquet(written(line_examples(rows, text_col)))
+    weights = fit_everywhere(lines, BITS, rounds=1)
+    shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2^18 floats, a fixed size
+
+    def first(ends: list[list[int]]) -> np.ndarray:
+        return sigmoid(Rows(ends).dot(shared.value) + shared.value[-1])
+
+    found = spikes(cut(length_counts(rows, text_col))).where("m > 0").select("m", is_round(F.col("m")).alias("usual")).collect()
+    cut_at, whole_at = by_share(ends_at(rows, text_col, {r["m"] for r in found}, first)) if found else ([], [])
+    limits = sorted({*cut_at, *(r["m"] for r in found if r["usual"])} - set(whole_at))
+    texts = spark.read.parquet(written(text_examples(rows, text_col, first, limits)))
+    free = F.lit(bytearray(np.int32(bucket("free", BITS)).tobytes()))
+    both = lines.withColumn("x", F.concat("x", free)).unionByName(texts)
+    return fit_everywhere(both, BITS, weights), limits
 
 
-def score(rows: DataFrame, id_col: str = "id", text_col: str = "description", sample: int = 8_000, n_lines: int = 40_000, group_col: str | None = None) -> DataFrame:
+def score(rows: DataFrame, id_col: str = "id", text_col: str = "description", group_col: str | None = None) -> DataFrame:
     """(id, p): the probability that a text was cut off, for every row with a text.
 
     Null and empty texts, and texts that end with a line break, give no row
     and count as intact; with ``group_col`` that column comes along as ``grp``
-    and every row has one, with p 0 for those.  ``sample`` bounds the texts and
-    ``n_lines`` the inner lines the model is fitted on.
+    and every row has one, with p 0 for those.
     """
-    texts = sample_texts(rows, id_col, text_col, sample)
-    lines = fit_lines(texts, n_lines=n_lines)
-    lengths = sorted({len(t) for t in texts})  # as many as the sample has texts
-    found = spikes(cut(length_counts(rows, text_col)))
-    usual = is_round(F.col("m"))
-    spiked = {r["m"]: r["usual"] for r in found.where((F.col("m") > 0) & (usual | F.col("m").isin(lengths))).select("m", usual.alias("usual")).collect()}
-    cut_at, whole_at = borne_out(list(spiked), texts, by_endings(texts, lines[2]))
-    limits = sorted({*cut_at, *(m for m, usual_ in spiked.items() if usual_)} - set(whole_at))
-    weights = fit(texts, limits, lines=lines)
+    weights, limits = model(rows, text_col)
     shared = rows.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2^18 floats, a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +310,7 @@ def score(rows: DataFrame, id_col: str = "id", text_col: str = "description", sa
         for b in batches:
             p = np.zeros(len(b))
             full = np.flatnonzero(b["full"].to_numpy())
-            x = Rows([hashed(ending_features(s) + length_features(n, limits)) for s, n in zip(b["line"].array[full], b["n"].array[full])])
+            x = Rows([ending(s) + hashed(length_features(n, limits)) for s, n in zip(b["line"].array[full], b["n"].array[full])])
             p[full] = sigmoid(x.dot(w) + w[-1])
             yield pd.DataFrame({"id": b["id"], "grp": b["grp"], "p": p})
 
